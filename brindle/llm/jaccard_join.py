@@ -18,6 +18,9 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, and documents link when
    |d(x, p) - d(y, p)| > r for a common pivot p rules a pair out.  Tested pivots leave the region,
    until each region holds one component or one document.
 
+Before texts are fetched for a distance, a sketch (hash counts in about half as many cells as the set
+has shingles) bounds the overlap of the pair from above; pairs it proves to be too far are dropped.
+
 Documents with equal sets are one point (a class) throughout, so copies are never expanded into
 pairs.  Sets are compared by 64-bit shingle hashes.
 """
@@ -60,6 +63,42 @@ def _set_hash(s: np.ndarray) -> int:
     return int(np.uint64(total).astype(np.int64))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their low bits, a third to two thirds as many cells as hashes.
+
+    The overlap of two sets is at most the sum of the lesser counts of each cell.  A count of 255 may
+    stand for more, and then the sketch is empty and bounds nothing."""
+    cells = 1 << max(0, (max(len(s), 1) - 1) // 3 * 2 or 1).bit_length() - 1
+    counts = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 255 else b""
+
+
+def _overlap_bound(a: bytes, b: bytes) -> int:
+    if not a or not b:
+        return 1 << 60
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    while len(x) != len(y):  # the finer one is folded
+        if len(x) > len(y):
+            x = x[: len(x) // 2] + x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sketches allow a link; what goes is proven to be farther than the radius."""
+    side = lambda c: sketches.select(F.col("h").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
+    rows = pairs.join(side("x"), "x").join(side("p"), "p").select("x", "p", "x_rep", "p_rep", "x_n", "p_n", "x_s", "p_s")
+
+    def test(batches):
+        for b in batches:
+            xn, pn, xs, ps = (b.column(k).to_pylist() for k in (4, 5, 6, 7))
+            keep = [den * (o := min(_overlap_bound(s, t), n, m)) >= num * (n + m - o) for n, m, s, t in zip(xn, pn, xs, ps)]
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(test, "x long, p long, x_rep long, p_rep long")
+
+
 def _frequent(docs: DataFrame, text: str, n: int) -> np.ndarray:
     def count(batches):
         for b in batches:
@@ -78,7 +117,7 @@ def _frequent(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
 
 def _distances(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(x, p, inter, uni) for pairs (x, p, x_rep, p_rep, x_n, p_n) of classes.
+    """(x, p, inter, uni) for pairs (x, p, x_rep, p_rep) of classes.
 
     Texts of the two sides are fetched by representative id behind a bitmap filter.  A pivot is
     copied once for SALT_ROWS of its documents, so a pivot of a third of all documents spreads over
@@ -126,11 +165,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def signatures(batches):
         for b in batches:
-            ns, hs, prefixes = [], [], []
+            ns, hs, prefixes, sketches = [], [], [], []
             for s in _sets(b.column(1), words):
                 k = len(s)
                 ns.append(k)
                 hs.append(_set_hash(s) if k else None)
+                sketches.append(_sketch(s))
                 m = k - (-(-num * k // den)) + 1 if k else 0
                 often = frequent.value
                 if len(often) and k:
@@ -139,10 +179,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     late = often[at] == s
                     s = np.concatenate((s[~late][:m], s[late]))
                 prefixes.append(s[:m].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(hs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "h", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(hs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "n", "h", "prefix", "sketch"])
 
-    sig = materialise(docs.select(F.col("_id").cast("long").alias("_id"), "_t").mapInArrow(signatures, "id long, n long, h long, prefix array<long>"), "sig")
-    classes = sig.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sig = materialise(docs.select(F.col("_id").cast("long").alias("_id"), "_t").mapInArrow(signatures, "id long, n long, h long, prefix array<long>, sketch binary"), "sig")
+    classes = sig.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    sketches = materialise(classes.select("h", "rep", "n", "sketch"), "sketches")
 
     # Outer regions: (shingle, band) with at least two classes.
     shingle = Window.partitionBy("s")
@@ -157,7 +198,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fits = lambda a, b: (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b))
     votes = regions.where((F.col("h") != F.col("pivot.h")) & fits(F.col("n"), F.col("pivot.n"))).groupBy("h", "pivot").agg(F.count("*").alias("v"), F.first("rep").alias("rep"), F.first("n").alias("n"))
     best = votes.groupBy("h", "rep", "n").agg(F.max_by("pivot", F.struct("v", F.col("pivot.h"))).alias("q"))
-    pairs = materialise(best.select(F.col("h").alias("x"), F.col("q.h").alias("p"), F.col("rep").alias("x_rep"), F.col("q.rep").alias("p_rep")), "pairs")
+    pairs = best.select(F.col("h").alias("x"), F.col("q.h").alias("p"), F.col("rep").alias("x_rep"), F.col("q.rep").alias("p_rep"))
+    pairs = materialise(_possible(pairs, sketches, num, den), "pairs")
     tested = materialise(_distances(pairs, docs, "_id", "_t", words), "tested")
     centre = tested.select(F.col("x").alias("h"), F.col("p").alias("centre"), (1 - F.col("inter") / F.col("uni")).alias("dist"))
     linked = (F.lit(den) * F.col("inter") >= F.lit(num) * F.col("uni"))
@@ -190,7 +232,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .where((F.col("_xc") != F.col("_pc")) | F.col("_xc").isNull() | F.col("_pc").isNull() | (F.abs(F.col("_xd") - F.col("_pd")) <= radius + 1e-9))
             .select("x", "p", "x_rep", "p_rep")
         )
-        cand = materialise(cand, "cand")
+        cand = materialise(_possible(cand, sketches, num, den), "cand")
         now = materialise(_distances(cand, docs, "_id", "_t", words), "tested")
         done = done.union(now.select(F.least("x", "p"), F.greatest("x", "p")))
         edges.append(materialise(now.where(linked).select(F.col("x").alias("src"), F.col("p").alias("dst")), "links"))
@@ -202,7 +244,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         alive = materialise(at.join(pivots.select("s", "band", "h"), ["s", "band", "h"], "left_anti").select("s", "band", "h", "rep", "n"), "alive")
         release(cand, at, pivots)
 
-    label = classes.select("h", "rep").join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    label = sketches.select("h", "rep").join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = label.join(least, "component").select("h", "component_id")
     out = sig.where("n > 0 and id is not null").join(label, "h").select(F.col("id"), "n", F.col("h").alias("class_id"), "component_id")

@@ -1,8 +1,67 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read as the next one's docs."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read as the next one's docs.
 
-STAGES: list = []
+Quality classifier, n-gram Jaccard join, benchmark decontamination, mixing and token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate as leaks
+from brindle.llm import mixing, quality, token_files
+from brindle.llm._common import new_path
+from brindle.llm.jaccard_join import ngram_jaccard_join
+from brindle.llm.queries import END_ID, vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.classify(docs).where("quality_keep").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of linked documents; rows of null id stay."""
+    groups = ngram_jaccard_join(docs.select("doc_id", "text"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item."""
+    return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass of the mix over a document, with the words taken."""
+    mixed = mixing.mixed_texts(docs.select(*COLUMNS))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in ascending document id, read back: doc_id, start, n_tokens, ids_crc32."""
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(docs, path, vocabulary(), END_ID)
+    return token_files.digest(token_files.read_token_files(spark, path))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", token_binary),
+]
+#: The tokenizer and the learned classifier are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage{k}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs
