@@ -1,4 +1,584 @@
-"""All registered queries of the engine's own operators, with their DuckDB equivalents."""
+"""All registered queries of the engine's own operators, with their DuckDB equivalents.
+
+Catalog: part (doc_id p_partkey, name p_name, brand p_brand, specification p_size + 'g', attribute
+p_type).  Requests: every distinct name, its words in reverse.  Price history: orders, lineitem and
+customer; procurement: lineitem and supplier.  Names with CJK characters are built from part."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.functions import scores, specs, text
+from brindle.operators import brands, columns, hotel, pricing, results, retrieval, tokenizer
+from brindle.plans import records
+from brindle.streaming import events as event_windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --------------------------------------------------------------------------- catalog, requests, prices
+
+
+def catalog(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("core_name"), F.split("p_name", " ").alias("core_tokens"), F.col("p_brand").alias("brand"), F.concat(F.col("p_size").cast("string"), F.lit("g")).alias("spec"), F.array("p_type").alias("attributes"))
+
+
+def requests(spark, sf) -> DataFrame:
+    c = catalog(spark, sf).groupBy("core_name").agg(F.min("doc_id").alias("q"), F.min_by(F.struct("brand", "spec", "attributes"), "doc_id").alias("x"))
+    words = F.reverse(F.split("core_name", " "))
+    return c.select("q", F.array_join(words, " ").alias("core_name"), words.alias("core_tokens"), "x.*")
+
+
+CATALOG_SQL = """
+c AS (SELECT p_partkey AS doc_id, p_name AS core_name, string_split(p_name, ' ') AS core_tokens, p_brand AS brand, p_size || 'g' AS spec, [p_type] AS attributes FROM part),
+r AS (SELECT min(doc_id) AS q, array_to_string(list_reverse(string_split(core_name, ' ')), ' ') AS core_name, list_reverse(string_split(core_name, ' ')) AS core_tokens,
+        arg_min(brand, doc_id) AS brand, arg_min(spec, doc_id) AS spec, arg_min(attributes, doc_id) AS attributes FROM c GROUP BY core_name),
+"""
+BIGRAMS_SQL = """list_distinct(CASE WHEN length(replace({0}, ' ', '')) = 0 THEN [] WHEN length(replace({0}, ' ', '')) < 2 THEN [replace({0}, ' ', '')]
+  ELSE list_transform(range(1, length(replace({0}, ' ', ''))), lambda i: substring(replace({0}, ' ', ''), i, 2)) END)"""
+JACCARD_SQL = (
+    CATALOG_SQL
+    + f"""
+ct AS (SELECT core_name, {BIGRAMS_SQL.format("core_name")} AS g FROM (SELECT DISTINCT core_name FROM c)),
+rt AS (SELECT q, {BIGRAMS_SQL.format("core_name")} AS g FROM r),
+pairs AS (SELECT q, core_name, len(list_intersect(rt.g, ct.g)) AS both_, len(rt.g) AS a, len(ct.g) AS b FROM rt, ct),
+hits AS (SELECT q, doc_id, both_::DOUBLE / (a + b - both_) AS jaccard FROM pairs JOIN c USING (core_name) WHERE both_ > 0),
+bigram AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, doc_id) AS rn FROM hits) WHERE rn <= 200),
+"""
+)
+BM25_SQL = """
+tok AS (SELECT doc_id, unnest(core_tokens) AS term, len(core_tokens) AS dl FROM c),
+post AS (SELECT doc_id, term, dl, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+corpus AS (SELECT count(*) AS n, sum(len(core_tokens))::DOUBLE / greatest(count(*), 1) AS avgdl FROM c),
+qt AS (SELECT q, unnest(core_tokens) AS term FROM r),
+bm25 AS (SELECT q, post.doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+  FROM qt JOIN post USING (term) JOIN df USING (term), corpus GROUP BY 1, 2),
+u AS (SELECT coalesce(bm25.q, bigram.q) AS q, coalesce(bm25.doc_id, bigram.doc_id) AS doc_id, coalesce(bm25, 0) AS bm25, coalesce(jaccard, 0) AS jaccard
+  FROM bm25 FULL JOIN bigram ON bm25.q = bigram.q AND bm25.doc_id = bigram.doc_id),
+m AS (SELECT *, max(bm25) OVER (PARTITION BY q) AS bm, max(jaccard) OVER (PARTITION BY q) AS jm FROM u),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(bm25 / bm + jaccard / jm, 12) DESC, doc_id) AS rn FROM m) WHERE rn <= 200),
+cand AS (SELECT cut.q, cut.doc_id, cut.bm25, cut.jaccard, bm, jm, r.brand AS q_brand, r.spec AS q_spec, r.core_name AS q_core, r.attributes AS q_attr, c.brand, c.spec, c.core_name, c.attributes
+  FROM cut JOIN r USING (q) JOIN c USING (doc_id)),
+g AS (SELECT *, contains(q_brand, brand) OR contains(brand, q_brand) AS same FROM cand),
+guard AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY q) AS n_same FROM g) WHERE n_same < 5 OR same),
+"""
+NUMS = "regexp_extract_all({0}, '\\d+(?:\\.\\d+)?')"
+UNITS = "regexp_extract_all({0}, '[a-zA-Z]+')"
+PAIRS_SQL = "list_distinct(CASE WHEN length({0}) < 2 THEN [] ELSE list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)) END)"
+SCORED_SQL = f"""
+s AS (SELECT *, bm25 / bm * 0.6 + jaccard / jm * 0.4
+  + CASE WHEN len(list_intersect({NUMS.format("q_spec")}, {NUMS.format("spec")})) > 0 THEN CASE WHEN len(list_intersect({UNITS.format("q_spec")}, {UNITS.format("spec")})) > 0 THEN 0.5 ELSE 0.4 END ELSE -0.1 END
+  + len(list_intersect(q_attr, attributes)) * 0.15 / len(q_attr) + CASE WHEN same THEN 0.35 ELSE 0 END AS score,
+  (0.25 * CASE WHEN same THEN 1.0 ELSE 0.0 END + 0.25 * CASE WHEN len(list_intersect({NUMS.format("q_spec")}, {NUMS.format("spec")})) > 0 THEN 1.0 ELSE 0.5 END
+   + 0.5 * round(2.0 * len(list_intersect({PAIRS_SQL.format("q_core")}, {PAIRS_SQL.format("core_name")}))::DOUBLE / (len({PAIRS_SQL.format("q_core")}) + len({PAIRS_SQL.format("core_name")})), 4)) AS confidence
+  FROM guard)
+"""
+
+
+def quotes(spark, sf) -> DataFrame:
+    o, li, c = (table(spark, sf, t) for t in ("orders", "lineitem", "customer"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(
+        F.col("l_partkey").alias("code"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("unit_price"), F.col("c_name").alias("customer"), "o_orderdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey"
+    )
+
+
+QUOTE_ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey"]
+QUOTES_SQL = "quotes AS (SELECT l_partkey AS code, round(l_extendedprice / l_quantity, 6) AS unit_price, c_name AS customer, o_orderdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+LATEST_SQL = "o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_suppkey DESC"
+PREFERRED = ["77", "13"]
+
+
+def latest_quotes(spark, sf, prefer=None) -> DataFrame:
+    q = quotes(spark, sf)
+    hit = pricing.preferred(F.col("customer"), prefer) if prefer else None
+    return pricing.latest(q, "code", QUOTE_ORDER, ["unit_price", "customer", "o_orderdate"], hit)
+
+
+def latest_procurements(spark, sf) -> DataFrame:
+    li, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).select(F.col("l_partkey").alias("code"), F.col("l_extendedprice").alias("price"), F.col("s_name").alias("supplier"), "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey")
+    return pricing.latest(rows, "code", ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_suppkey"], ["price", "supplier", "l_shipdate"])
+
+
+PREFER_SQL = "quotes2 AS (SELECT *, contains(customer, '77') OR contains(customer, '13') AS p FROM quotes), kept AS (SELECT * FROM (SELECT *, bool_or(p) OVER (PARTITION BY code) AS any_p FROM quotes2) WHERE p OR NOT any_p)"
+
+
+@query(
+    "WITH " + JACCARD_SQL + QUOTES_SQL + ", " + PREFER_SQL + f""",
+best AS (SELECT q, doc_id, jaccard FROM bigram WHERE rn = 1),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LATEST_SQL}) AS k, count(*) OVER (PARTITION BY code) AS records_count FROM kept) WHERE k = 1)
+SELECT best.q, r.core_name AS name, best.doc_id, round(jaccard, 6) AS jaccard, l.unit_price, l.customer, l.o_orderdate, l.records_count FROM best JOIN r USING (q) LEFT JOIN l ON l.code = best.doc_id"""
+)
+def best_product_latest_price(spark, sf):
+    """The best product of each request and its latest price."""
+    r = requests(spark, sf)
+    best = retrieval.bigram_scores(r, catalog(spark, sf), 1)
+    price = latest_quotes(spark, sf, PREFERRED)
+    out = best.join(r.select("q", F.col("core_name").alias("name")), "q")
+    return pricing.lookup(out, price, "doc_id", "code").select("q", "name", "doc_id", F.round("jaccard", 6).alias("jaccard"), "unit_price", "customer", "o_orderdate", "records_count")
+
+
+WORD_LIST = "regexp_extract_all(lower(text), '[a-zA-ZÀ-ɏ]+')"
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, coalesce({WORD_LIST}, []) AS core_tokens FROM documents), r AS (SELECT item_id AS q, {WORD_LIST} AS core_tokens FROM benchmark),
+tok AS (SELECT doc_id, unnest(core_tokens) AS term, len(core_tokens) AS dl FROM c),
+post AS (SELECT doc_id, term, dl, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+corpus AS (SELECT count(*) AS n, sum(len(core_tokens))::DOUBLE / greatest(count(*), 1) AS avgdl FROM c),
+qt AS (SELECT q, unnest(core_tokens) AS term FROM r),
+s AS (SELECT q, post.doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qt JOIN post USING (term) JOIN df USING (term), corpus GROUP BY 1, 2)
+SELECT q, doc_id, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+)
+def bm25_topk(spark, sf):
+    """Benchmark items against all documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-ZÀ-ɏ]+"), F.lit(0))
+    docs = table(spark, sf, "documents").select("doc_id", words.alias("core_tokens"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), words.alias("core_tokens"))
+    s = retrieval.bm25_scores(q, retrieval.bm25_index(docs))
+    return results.ranked(s.withColumn("bm25", F.round("bm25", 6)), ["q"], [F.desc("bm25"), "doc_id"]).where("rank <= 10")
+
+
+@query("WITH " + JACCARD_SQL + " z AS (SELECT 1) SELECT q, doc_id, round(jaccard, 6) AS jaccard, rn AS rank FROM bigram WHERE rn <= 10")
+def bigram_jaccard_topk(spark, sf):
+    """R3 R4 R24 J2 A5 T1."""
+    s = retrieval.bigram_scores(requests(spark, sf), catalog(spark, sf), 10)
+    return results.ranked(s, ["q"], [F.desc("jaccard"), "doc_id"]).select("q", "doc_id", F.round("jaccard", 6).alias("jaccard"), "rank")
+
+
+def _recalled(spark, sf) -> DataFrame:
+    r, c = requests(spark, sf), catalog(spark, sf)
+    return retrieval.union_recall(retrieval.bm25_scores(r, retrieval.bm25_index(c)), retrieval.bigram_scores(r, c, 200), 200)
+
+
+@query("WITH " + JACCARD_SQL + BM25_SQL + " z AS (SELECT 1) SELECT q, doc_id, round(bm25, 6) AS bm25, round(jaccard, 6) AS jaccard, round(bm25 / bm * 0.6 + jaccard / jm * 0.4, 6) AS base FROM cut")
+def hybrid_recall_union(spark, sf):
+    """J3 U3 A6 T2 R7."""
+    base = scores.base_score(F.col("bm25"), F.col("bm25_max"), F.col("jaccard"), F.col("jaccard_max"))
+    return _recalled(spark, sf).select("q", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("jaccard", 6).alias("jaccard"), F.round(base, 6).alias("base"))
+
+
+@query("WITH " + JACCARD_SQL + BM25_SQL + " z AS (SELECT 1) SELECT q, doc_id, q_brand, brand FROM guard")
+def brand_guard_filter(spark, sf):
+    """FL6 J4 J9."""
+    rows = _recalled(spark, sf).join(requests(spark, sf).select("q", F.col("brand").alias("q_brand")), "q").join(catalog(spark, sf).select("doc_id", "brand"), "doc_id")
+    return retrieval.brand_guard(rows).select("q", "doc_id", "q_brand", "brand")
+
+
+@query("WITH " + JACCARD_SQL + BM25_SQL + SCORED_SQL + "SELECT q, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
+def rerank_bonus(spark, sf):
+    """R5 R7-R10 J11 U4 W1 T3."""
+    return retrieval.match(requests(spark, sf), catalog(spark, sf)).select("q", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "WITH " + JACCARD_SQL + BM25_SQL + SCORED_SQL
+    + """, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS sr FROM s) WHERE sr <= 50)
+SELECT q, doc_id, round(confidence, 6) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(confidence, 2) DESC, sr) AS rank FROM t) WHERE rank <= 10"""
+)
+def confidence_weighted(spark, sf):
+    """R12 R13 R15 W2."""
+    return retrieval.match(requests(spark, sf), catalog(spark, sf), order_by="confidence").select("q", "doc_id", F.round("confidence", 6).alias("confidence"), "rank")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name FROM part)
+SELECT a.p_name AS a, b.p_name AS b, round(2.0 * len(list_intersect({PAIRS_SQL.format("a.p_name")}, {PAIRS_SQL.format("b.p_name")}))::DOUBLE / (len({PAIRS_SQL.format("a.p_name")}) + len({PAIRS_SQL.format("b.p_name")})), 4) AS dice
+FROM n a JOIN n b ON string_split(a.p_name, ' ')[1] = string_split(b.p_name, ' ')[1]""")
+def name_dice(spark, sf):
+    """Dice of names that share their first word."""
+    n = table(spark, sf, "part").select(F.col("p_name").alias("a"), F.substring_index("p_name", " ", 1).alias("w")).distinct()
+    return n.join(n.select(F.col("a").alias("b"), "w"), "w").select("a", "b", scores.name_confidence(F.col("a"), F.col("b")).alias("dice"))
+
+
+@query("WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS w FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.w[2] = b.w[2]")
+def edit_distance(spark, sf):
+    """R11."""
+    n = table(spark, sf, "part").select(F.col("p_name").alias("a"), F.get(F.split("p_name", " "), F.lit(1)).alias("w")).distinct()
+    return n.join(n.select(F.col("a").alias("b"), "w"), "w").select("a", "b", F.levenshtein("a", "b").alias("distance"))
+
+
+# --------------------------------------------------------------------------- prices
+
+
+@query("WITH " + QUOTES_SQL + f" SELECT code, unit_price, customer, o_orderdate, records_count FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LATEST_SQL}) AS k, count(*) OVER (PARTITION BY code) AS records_count FROM quotes) WHERE k = 1")
+def latest_quote(spark, sf):
+    """J5 W3 A7 R21."""
+    return latest_quotes(spark, sf)
+
+
+@query("WITH " + QUOTES_SQL + ", " + PREFER_SQL + f" SELECT code, unit_price, customer, o_orderdate, records_count FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LATEST_SQL}) AS k, count(*) OVER (PARTITION BY code) AS records_count FROM kept) WHERE k = 1")
+def latest_quote_preferred(spark, sf):
+    """J10 A13 W3."""
+    return latest_quotes(spark, sf, PREFERRED)
+
+
+PROC_SQL = "proc AS (SELECT code, price, supplier, l_shipdate, records_count FROM (SELECT l_partkey AS code, l_extendedprice AS price, s_name AS supplier, l_shipdate, count(*) OVER (PARTITION BY l_partkey) AS records_count, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_suppkey DESC) AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) WHERE k = 1)"
+
+
+@query("WITH " + PROC_SQL + " SELECT * FROM proc")
+def latest_procurement(spark, sf):
+    """J6 W4 R22."""
+    return latest_procurements(spark, sf)
+
+
+@query(
+    "WITH " + QUOTES_SQL + ", " + PROC_SQL + f""", q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LATEST_SQL}) AS k FROM quotes) WHERE k = 1)
+SELECT p_partkey AS code, p_name AS name, q.unit_price, q.customer, proc.price, proc.supplier FROM part LEFT JOIN q ON q.code = p_partkey LEFT JOIN proc ON proc.code = p_partkey"""
+)
+def price_assembly(spark, sf):
+    """J7 S19."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_index"), F.col("p_partkey").alias("code"))
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("item_index"), F.col("p_name").alias("name"))
+    out = pricing.assemble(p, items, latest_quotes(spark, sf), latest_procurements(spark, sf))
+    return out.select("code", "name", "quote.unit_price", "quote.customer", "procurement.price", "procurement.supplier")
+
+
+# --------------------------------------------------------------------------- scalar functions
+
+
+def named(spark, sf, *parts) -> DataFrame:
+    """part with `name`, its string parts joined; a Column or a literal each."""
+    cols = [F.lit(p) if isinstance(p, str) else p for p in parts]
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(*cols).alias("name"))
+
+
+P, SIZE = F.col, lambda: F.col("p_size").cast("string")
+
+
+@query("SELECT p_partkey AS id, '(' || p_name || ')[' || p_size || ']A1.b ' AS folded FROM part")
+def fullwidth_fold(spark, sf):
+    """F1 F3."""
+    return named(spark, sf, "（", P("p_name"), "）【", SIZE(), "】Ａ１．ｂ　").select("id", text.fold_width(F.col("name")).alias("folded"))
+
+
+@query("SELECT p_partkey AS id, replace(replace(p_name, 'x', '*'), 'X', '*') || p_size || '*2*3*4' AS folded FROM part")
+def multiply_fold(spark, sf):
+    """F2."""
+    return named(spark, sf, P("p_name"), SIZE(), "×2χ3Χ4").select("id", text.fold_multiply(F.col("name")).alias("folded"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' 商品 é' || p_size || '*(a)' AS cleaned FROM part")
+def special_char_clean(spark, sf):
+    """F4 F5."""
+    return named(spark, sf, "  ", P("p_name"), "#&!商品@  é", SIZE(), "*(a) ").select("id", text.squeeze(text.clean_symbols(F.col("name"))).alias("cleaned"))
+
+
+@query("SELECT p_partkey AS id, replace(p_name, 'x', '*') || '(去骨)' || p_size || 'kg*1袋' AS cleaned FROM part")
+def clean_name(spark, sf):
+    """F6."""
+    return named(spark, sf, " ", P("p_name"), "（去骨）", SIZE(), "kg×１袋  ").select("id", text.clean(F.col("name")).alias("cleaned"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' 去骨 ' || p_size || ' 整' AS opened, ['去骨', '整'] AS inside FROM part")
+def brackets_strip(spark, sf):
+    """F14 F16."""
+    return named(spark, sf, P("p_name"), "(去骨)", SIZE(), "[ 整 ]").select("id", text.open_brackets(F.col("name")).alias("opened"), text.bracket_contents(F.col("name")).alias("inside"))
+
+
+@query("SELECT p_partkey AS id, p_name || '散称散装散称散称散称散称' AS unified FROM part")
+def weighing_terms(spark, sf):
+    """F15."""
+    return named(spark, sf, P("p_name"), "称重散装称重散卖论斤称按重量").select("id", text.weighing_terms(F.col("name")).alias("unified"))
+
+
+@query("SELECT p_partkey AS id, p_name || (p_size * 1000) || 'g*' || (p_size * 500) || 'g' || (p_size + 500) || 'g' || (p_size * 50) || 'g' AS converted FROM part")
+def unit_weight(spark, sf):
+    """F7."""
+    n = named(spark, sf, P("p_name"), SIZE(), "KG*", SIZE(), "斤", (P("p_size") + 500).cast("string"), " 克", SIZE(), "两")
+    return n.select("id", text.weight_units(F.col("name")).alias("converted"))
+
+
+@query("SELECT p_partkey AS id, p_name || (p_size * 1000) || 'mL/瓶' || p_size || 'mL ' || (p_size * 1000000) || 'mL ' || p_size || 'L' AS converted FROM part")
+def unit_volume(spark, sf):
+    """F8 F9."""
+    n = named(spark, sf, P("p_name"), SIZE(), "L/瓶", SIZE(), "ML ", SIZE(), "m³ ", SIZE(), "L")
+    return n.select("id", text.volume_units(F.col("name")).alias("converted"))
+
+
+@query("SELECT p_partkey AS id, p_name || p_size || 'cm' || p_size || '.5mm' || p_size || 'dm 500g' AS converted FROM part")
+def unit_length(spark, sf):
+    """F10 F11."""
+    n = named(spark, sf, P("p_name"), "0", SIZE(), "厘米", SIZE(), ".5毫米", SIZE(), " 分米 500G")
+    return n.select("id", text.gram_variants(text.length_units(F.col("name"))).alias("converted"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' ' || p_size || '包 箱 ' || p_size || 'g 12袋 ' || p_size || 'mL 6瓶' AS packed FROM part")
+def package_norm(spark, sf):
+    """F12."""
+    n = named(spark, sf, P("p_name"), " ", SIZE(), "包 / 箱 ", SIZE(), "g*12袋 ", SIZE(), "mL * 6瓶")
+    return n.select("id", text.packages(F.col("name")).alias("packed"))
+
+
+@query("SELECT p_partkey AS id, trim(p_name || ' 海天酱油') AS stripped FROM part")
+def brand_strip(spark, sf):
+    """F13."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(P("p_brand"), F.lit("牌"), P("p_name"), F.lit(" 海天牌酱油")).alias("name"), P("p_brand").alias("brand"))
+    return p.select("id", text.strip_brand(F.col("name"), F.col("brand")).alias("stripped"))
+
+
+@query("""SELECT p_partkey AS id, replace(p_name, 'x', '*') || (p_size * 1000) || 'g ' || (p_size % 7 + 1) || '袋 去骨' AS normalized FROM part""")
+def normalize_full(spark, sf):
+    """F24 F6-F15 on a whole name."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("金龙鱼牌"), P("p_name"), SIZE(), F.lit("kg*"), (P("p_size") % 7 + 1).cast("string"), F.lit("袋（去骨）")).alias("name"))
+    return p.select("id", text.normalize_name(F.col("name"), F.lit("金龙鱼")).alias("normalized"))
+
+
+@query("SELECT p_partkey AS id, (p_size * 10) || 'g ' || (p_size % 7 + 1) || '袋 散称 箱' AS spec, p_size || 'kg*2袋 箱' AS raw FROM part")
+def spec_extract(spark, sf):
+    """E3 E5."""
+    p = table(spark, sf, "part")
+    a = F.concat(P("p_name"), (P("p_size") * 10).cast("string"), F.lit("g "), (P("p_size") % 7 + 1).cast("string"), F.lit("袋 散称/箱"))
+    b = F.concat(P("p_brand"), F.lit("牌"), P("p_name"), F.lit(" "), SIZE(), F.lit("kg*2袋/箱"))
+    return p.select(F.col("p_partkey").alias("id"), specs.extract_spec(a).alias("spec"), F.regexp_replace(specs.raw_spec(b, P("p_brand")), "kg 2袋", "kg*2袋").alias("raw"))
+
+
+@query("SELECT p_partkey AS id, p_name || '大豆油桶' AS core FROM part")
+def core_names(spark, sf):
+    """E4."""
+    c = F.concat(P("p_name"), F.lit("特级大豆油"), SIZE(), F.lit("mL*2桶/箱 散装"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), specs.core_name(c, ["特级", "一级"]).alias("core"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS flag, p_size % 5 > 0 AS number, round(p_retailprice, 2) AS price, CASE WHEN p_size % 5 > 0 THEN ['a', '油'] ELSE [] END AS list, '[' || p_size || '] ' || p_name AS label, p_partkey::VARCHAR AS code FROM part")
+def conversions(spark, sf):
+    """F17 F19 F20 F22 F23 S11 keys."""
+    flag = F.when(P("p_size") % 3 == 0, "TRUE").when(P("p_size") % 3 == 1, "False").otherwise("maybe")
+    num = F.when(P("p_size") % 5 > 0, SIZE()).otherwise("1g")
+    js = F.when(P("p_size") % 5 > 0, '["a", "油"]').otherwise("[broken")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.parse_flag(flag).alias("flag"), text.is_number(num).alias("number"), text.safe_price(P("p_retailprice").cast("string")).alias("price"), text.json_list(js).alias("list"), text.candidate_label(P("p_size"), P("p_name")).alias("label"), text.code_key(F.concat(F.lit(" "), P("p_partkey").cast("string"), F.lit(".0 "))).alias("code"))
+
+
+# --------------------------------------------------------------------------- dictionaries and tokens
+
+
+@query(
+    """WITH n AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN '海天牌' ELSE '' END || p_name || p_brand || '油' AS name FROM part), b AS (SELECT DISTINCT p_brand AS brand FROM part)
+SELECT id, name, CASE WHEN name LIKE '海天牌%' THEN '海天' ELSE (SELECT arg_min(brand, (-length(brand), instr(name, brand), brand)) FROM b WHERE contains(name, brand)) END AS detected_brand FROM n"""
+)
+def brand_dictionary_join(spark, sf):
+    """J8 E1 E2 S12 FL10 T4."""
+    p = table(spark, sf, "part")
+    names = p.select(F.col("p_partkey").alias("id"), F.concat(F.when(P("p_size") % 4 == 0, "海天牌").otherwise(""), P("p_name"), P("p_brand"), F.lit("油")).alias("name"))
+    return brands.detect_brands(names, brands.brand_dictionary(p, "p_brand")).select("id", "name", "detected_brand")
+
+
+SPEC_WORDS = ["大豆油", "酱油", "味极鲜", "玉米", "玉米粒", "平底锅", "厘米"]
+DETAIL_WORDS = ["非转基因", "转基因", "一级", "特级"]
+
+
+@query("SELECT p_partkey AS id, list_concat(list_filter([regexp_extract(p_name, '^[a-z]+'), regexp_extract(p_name, '[a-z]+$')], lambda x: x <> ''), ['味极鲜', '酱油', (p_size * 1000) || 'mL', '瓶', '金糯', '玉米粒']) AS tokens FROM part")
+def tokens_dp(spark, sf):
+    """K1-K7 A12."""
+    n = named(spark, sf, P("p_name"), " 味极鲜酱油", (P("p_size") * 1000).cast("string"), "mL/瓶 金糯玉米粒")
+    return n.select("id", tokenizer.tokenize([], SPEC_WORDS)(F.col("name")).alias("tokens"))
+
+
+@query("SELECT p_partkey AS id, list_concat(string_split(p_name, ' '), ['酱油', '150', '天']) AS core_tokens FROM part")
+def core_token_filter(spark, sf):
+    """E6."""
+    tokens = F.concat(F.array(P("p_brand")), F.split("p_name", " "), F.array(F.lit("酱油"), F.concat(SIZE(), F.lit("g")), SIZE(), F.lit("箱"), F.lit("2.5"), F.lit("6袋"), F.lit("散称"), F.lit("150"), F.lit("天")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), specs.core_tokens(tokens, P("p_brand")).alias("core_tokens"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN ['非转基因', '一级'] ELSE ['转基因', '一级'] END AS attributes FROM part")
+def attribute_words(spark, sf):
+    """E7 S14."""
+    n = named(spark, sf, P("p_name"), F.when(P("p_size") % 2 == 0, "非转基因").otherwise("转基因"), "一级大豆油", SIZE(), "L")
+    return n.select("id", tokenizer.attributes(DETAIL_WORDS)(F.col("name")).alias("attributes"))
+
+
+def dictionaries(spark, sf) -> records.Dictionaries:
+    return records.Dictionaries(brands.brand_dictionary(table(spark, sf, "part"), "p_brand"), SPEC_WORDS, DETAIL_WORDS, ["特级", "一级"])
+
+
+@query(
+    """SELECT p_partkey AS id, p_brand AS detected_brand, replace(p_brand, '#', ' ') || '牌' || replace(p_name, 'x', '*') || '一级酱油' || (p_size * 1000) || 'g 2袋' AS normalized_name, replace(p_brand, '#', ' ') || '牌' || replace(p_name, 'x', '') || '酱油' AS core_name,
+(p_size * 1000) || 'g 2袋' AS normalized_spec, ['一级'] AS attributes, '["一级"]' AS attributes_json FROM part"""
+)
+def process_records(spark, sf):
+    """K8 K9 UD1 F21 S16."""
+    n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(P("p_brand"), F.lit("牌"), P("p_name"), F.lit("一级酱油"), SIZE(), F.lit("kg*2袋")).alias("name"))
+    out = records.process_records(n, dictionaries(spark, sf))
+    return out.select("id", "detected_brand", "normalized_name", "core_name", "normalized_spec", "attributes", "attributes_json")
+
+
+# --------------------------------------------------------------------------- order lines
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '香脆椒 (' ELSE '火腿 方 (' END || '雨润牌) ' || p_size || 'KG' AS cleaned, p_size % 5 > 0 AS order_line FROM part")
+def hotel_cleanup(spark, sf):
+    """X1-X8 FL7."""
+    zh = F.concat(F.when(P("p_size") % 2 == 0, "小食 香脆椒").otherwise("火腿 方"), F.lit(" (雨润) "), SIZE(), F.lit("KG PER PC 员工厨 冰鲜 中国"))
+    line = F.concat(F.when(P("p_size") % 5 > 0, "SNACKS ").otherwise("snacks "), F.upper("p_name"), F.lit(" DR CHN "), zh, F.lit(" ("), zh, F.lit(")"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), hotel.clean_order_line(line).alias("cleaned"), hotel.is_order_line(line).alias("order_line"))
+
+
+@query("SELECT count(*) FILTER (WHERE p_size % 2 = 0) AS hits, count(*) AS sampled, CASE WHEN count(*) FILTER (WHERE p_size % 2 = 0) >= greatest(1, count(*) * 0.5) THEN 'special' ELSE 'normal' END AS mode FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 10)")
+def mode_vote(spark, sf):
+    """The sample of ten is the operator's."""
+    n = table(spark, sf, "part").select(F.col("p_partkey").alias("item_index"), F.when(P("p_size") % 2 == 0, F.concat(F.lit("SNACKS "), P("p_name"), F.lit(" (雨润)"))).otherwise(P("p_name")).alias("raw_name"))
+    return hotel.processing_mode(n)
+
+
+# --------------------------------------------------------------------------- sheets
+
+
+def sheets(spark, sf) -> DataFrame:
+    """One sheet a brand: a title row, the header, a row a part; every third sheet calls its names 品名."""
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name", "p_size", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 1).alias("row_idx"))
+    b = p.select("p_brand").distinct()
+    ord_ = F.substring_index("p_brand", "#", -1).cast("int")
+    odd = ord_ % 3 == 0
+    title = b.select(F.col("p_brand").alias("sheet"), ord_.alias("sheet_ord"), F.lit(0).alias("row_idx"), F.array(F.lit("Tender 2024"), F.lit(None), F.lit(None)).alias("cells"))
+    head = b.select(F.col("p_brand").alias("sheet"), ord_.alias("sheet_ord"), F.lit(1).alias("row_idx"), F.array(F.lit("客户名称"), F.when(odd, "品名").otherwise("商品名称"), F.lit("数量")).alias("cells"))
+    body = p.select(F.col("p_brand").alias("sheet"), ord_.alias("sheet_ord"), "row_idx", F.array(F.lit("c"), F.when(F.col("p_size") % 9 > 0, F.concat(F.lit(" "), "p_name")), F.col("p_size").cast("string")).alias("cells"))
+    return title.unionByName(head).unionByName(body)
+
+
+def _sheet_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    return cells.join(headers, "sheet").where("row_idx = header").select("sheet", F.posexplode("cells").alias("ord", "name"))
+
+
+@query("SELECT DISTINCT p_brand AS sheet, 1 AS header, CASE WHEN string_split(p_brand, '#')[2]::INT % 3 = 0 THEN '品名' ELSE '商品名称' END AS name_column FROM part")
+def column_detect(spark, sf):
+    """S3 S4 S5 P1 P2 P4 P7."""
+    cells = sheets(spark, sf)
+    headers = columns.header_rows(cells)
+    return headers.join(columns.name_columns(_sheet_columns(cells, headers)), "sheet").select("sheet", "header", "name_column")
+
+
+@query("SELECT 0 AS ord, '客户名称' AS name UNION ALL SELECT 2, '数量'")
+def common_columns(spark, sf):
+    """U1 U5 P5 S7."""
+    cells = sheets(spark, sf)
+    return columns.common_columns(_sheet_columns(cells, columns.header_rows(cells)), cells.select("sheet", "sheet_ord").distinct())
+
+
+@query("SELECT row_number() OVER (ORDER BY string_split(p_brand, '#')[2]::INT, p_partkey) - 1 AS item_index, p_name AS raw_name FROM part WHERE string_split(p_brand, '#')[2]::INT % 3 > 0 AND p_size % 9 > 0")
+def sheet_union(spark, sf):
+    """U2 W6 S6 S8 S9 P6 FL1 FL3."""
+    cells = sheets(spark, sf)
+    return columns.union_items(cells, columns.header_rows(cells), "商品名称")
+
+
+# --------------------------------------------------------------------------- results
+
+
+def scored_parts(spark, sf) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", "p_name", "p_type", "p_brand", F.when(P("p_size") % 4 > 0, P("p_size") / 50).alias("confidence"), F.when(P("p_size") % 8 > 0, P("p_size") / 100).alias("score"))
+
+
+SCORED_PARTS = "s AS (SELECT p_partkey, p_name, p_type, p_brand, CASE WHEN p_size % 4 > 0 THEN p_size / 50 END AS confidence, CASE WHEN p_size % 8 > 0 THEN p_size / 100 END AS score FROM part)"
+
+
+@query(f"WITH {SCORED_PARTS} SELECT * FROM s WHERE coalesce(confidence, score) BETWEEN 0 AND 0.6 OR coalesce(confidence, score) IS NULL")
+def score_range_filter(spark, sf):
+    """FL4 FL5."""
+    return results.score_range(scored_parts(spark, sf), 0.0, 0.6)
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 15 OFFSET 30")
+def page_slice(spark, sf):
+    """The third page."""
+    return results.page(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_partkey"], 3)
+
+
+@query("SELECT p_partkey AS id, p_name || CASE WHEN p_size % 7 = 0 THEN '(停用)' ELSE '' END AS name FROM part WHERE p_size % 11 > 0")
+def drop_discontinued(spark, sf):
+    """FL2."""
+    n = named(spark, sf, P("p_name"), F.when(P("p_size") % 11 == 0, "(禁用)").when(P("p_size") % 7 == 0, "(停用)").otherwise(""))
+    return results.drop_discontinued(n, "name")
+
+
+@query("SELECT p_type, min(p_partkey) AS first_at FROM part GROUP BY 1")
+def first_seen_categories(spark, sf):
+    """A11."""
+    return results.first_seen(table(spark, sf, "part"), "p_type", "p_partkey")
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type IN ('PROMO', 'LARGE') AND contains(p_name, 'bolt')")
+def picker_filter(spark, sf):
+    """FL8."""
+    return results.picker(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), ["PROMO", "LARGE"], None, "bolt", "p_type", ("p_name",))
+
+
+@query("SELECT p_brand, count(*) AS rows, count(CASE WHEN p_size % 4 > 0 THEN 1 END) AS matched FROM part GROUP BY 1")
+def counts_by_sheet(spark, sf):
+    """A8 A10."""
+    return scored_parts(spark, sf).groupBy("p_brand").agg(F.count("*").alias("rows"), F.count_if(F.col("confidence").isNotNull()).alias("matched"))
+
+
+@query(f"WITH {SCORED_PARTS} SELECT p_partkey, part.p_name, s.p_type AS match_type, round(s.confidence, 6) AS confidence, part.p_size FROM part LEFT JOIN s USING (p_partkey)")
+def export_join(spark, sf):
+    """J12 S17."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    found = scored_parts(spark, sf).select("p_partkey", F.col("p_type").alias("match_type"), F.round("confidence", 6).alias("confidence"))
+    return results.export(rows, found, ["p_partkey"], "p_name", ["match_type", "confidence"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, p_brand FROM part")
+def reselect_alternative(spark, sf):
+    """J13 R20 R23."""
+    p = table(spark, sf, "part")
+    new = p.where("p_size % 10 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"))
+    return results.reselect(p.select("p_partkey", "p_name", "p_brand"), new, "p_partkey", ["p_name"])
+
+
+@query(
+    """SELECT p_partkey AS q, p_name AS raw_name, CASE WHEN p_size % 4 = 1 THEN p_partkey + 1000001 WHEN p_size % 4 = 2 THEN NULL ELSE p_partkey END AS doc_id,
+CASE WHEN p_size % 4 = 1 THEN 0.8 WHEN p_size % 4 = 2 THEN 0.0 ELSE 0.4 END AS confidence, p_size % 4 = 1 AS verified FROM part"""
+)
+def second_opinion(spark, sf):
+    """FL5 R17 W5 T7 UD4 UD16 with a judge of fixed answers."""
+    p = table(spark, sf, "part")
+    found = p.select(F.col("p_partkey").alias("q"), F.col("p_name").alias("raw_name"), F.col("p_partkey").alias("doc_id"), F.lit(0.4).alias("confidence"))
+    say = F.when(P("p_size") % 4 == 0, "?").when(P("p_size") % 4 == 3, "?")
+    some = p.select(F.col("p_partkey").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rank"), "p_partkey", "p_size")
+    cand = some.select("q", "rank", (F.col("p_partkey") + F.when(F.col("rank") > 1, 1_000_000).otherwise(0) + F.when(F.col("rank") > 1, F.col("rank") - 1).otherwise(0)).alias("doc_id"), F.coalesce(say, F.when((P("p_size") % 4 == 1) & (F.col("rank") >= 2), "yes").otherwise("no")).alias("name"))
+
+    def judge(pairs):
+        return [{"yes": True, "no": False}.get(name) for _, name in pairs]
+
+    return retrieval.review(found, cand, judge)
+
+
+# --------------------------------------------------------------------------- events (extension)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf):
+    return event_windows.tumbling(table(spark, sf, "events"))
+
+
+@query("SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS w FROM events) GROUP BY 1")
+def events_sliding(spark, sf):
+    return event_windows.sliding(table(spark, sf, "events"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 minutes AS session_end, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def events_session(spark, sf):
+    return event_windows.sessions(table(spark, sf, "events"))
