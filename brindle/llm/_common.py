@@ -47,10 +47,12 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and outlives executors."""
+    """Write a table to the shared folder and read it again: cuts lineage and outlives executors.
+
+    Not compressed: these tables hold hashes and ids, and native compressors cost memory."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "none").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
     return out
@@ -140,6 +142,17 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
+def row_slices(arr: pa.Array, limit: int = SEGMENT):
+    """Bounds (lo, hi) of runs of rows of at most `limit` bytes of text, or of one longer row, so that
+    what is computed for a batch does not grow with it."""
+    _, off = string_buffers(arr)
+    lo = 0
+    while lo < len(arr):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _rng_u64(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, dtype=np.uint64)
 
