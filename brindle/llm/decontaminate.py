@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _rng_u64, all_shingles, mix64, shingles, string_buffers, word_hashes
+from ._common import _rng_u64, all_shingles, mix64, row_slices, shingles, string_buffers, word_hashes
 
 WORDS, RADIUS, LANES = 5, 84, 4
 #: Words of items that one pass over the documents takes along (about 16 MB); more items, more passes.
@@ -81,6 +81,11 @@ class Matcher:
 
     def documents(self, text: pa.Array):
         """Per document with a match: (row, {item: (similarity, first word of the best window)})."""
+        for lo, hi in row_slices(text):
+            for d, found in self._slice(text.slice(lo, hi - lo)):
+                yield lo + d, found
+
+    def _slice(self, text: pa.Array):
         data, off = string_buffers(text)
         w, bounds = word_hashes(data, off)
         sh, at = all_shingles(w, bounds, WORDS)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _SPACE, materialise, mix64, string_buffers, word_hashes
+from ._common import _SPACE, materialise, mix64, row_slices, string_buffers, word_hashes
 
 #: Documents that train the scorer, those of the least id hash.
 SAMPLE = 3000
@@ -54,8 +54,12 @@ _PIPE = _known(["|"])
 
 
 def _sum(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Number of flags between bounds."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):  # what lies between two runs with flags is empty
+        out[some] = np.add.reduceat(flags, bounds[:-1][some], dtype=np.int64)
+    return out
 
 
 class Texts:
@@ -111,9 +115,8 @@ class Texts:
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, dimension, value) of the hashed features: shares of a document's words."""
-        first = np.flatnonzero(np.ones(0)) if not len(self.w) else None
         doc = np.repeat(np.arange(len(self.n)), self.n)
-        if first is not None:
+        if not len(doc):
             return doc, doc, doc.astype(float)
         solid = ~_SPACE[self.body]
         before = np.concatenate(([False], solid[:-1]))
@@ -123,9 +126,9 @@ class Texts:
         cut = self.at[1:-1]
         after[cut[(cut > 0) & (cut <= len(solid))] - 1] = False
         end = np.flatnonzero(solid & ~after) + 1
-        total = lambda flags: (lambda c: c[end] - c[begin])(np.concatenate(([0], np.cumsum(flags, dtype=np.int64))))
+        total = lambda flags: np.add.reduceat(flags, begin, dtype=np.int32)  # noqa: E731  blanks behind a word hold none
         size = end - begin
-        up, sym, low = total(_UPPER[self.body]), total(_IS_SYMBOL[self.body]) + total(self.body == 33), total(_LOWER[self.body])
+        up, sym, low = total(_UPPER[self.body]), total(_IS_SYMBOL[self.body] | (self.body == 33)), total(_LOWER[self.body])
         shape = (up > 0).astype(np.uint64) | ((up > 1) & (up >= low)).astype(np.uint64) << np.uint64(1) | (sym > 0).astype(np.uint64) << np.uint64(2) | np.isin(self.body[end - 1], [44, 46]).astype(np.uint64) << np.uint64(3) | self.same.astype(np.uint64) << np.uint64(4) | np.minimum(size // 3, 5).astype(np.uint64) << np.uint64(5) | np.isin(self.w, _FUNCTION).astype(np.uint64) << np.uint64(8)
         word = (self.w % np.uint64(WORD_DIMS)).astype(np.int64)
         earlier = np.concatenate(([np.uint64(511)], shape[:-1]))
@@ -199,7 +202,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def vote(batches):
         for b in batches:
-            codes = Texts(b.column(1)).votes() @ (3 ** np.arange(LABELLERS))
+            parts = [Texts(b.column(1).slice(lo, hi - lo)).votes() for lo, hi in row_slices(b.column(1))]
+            codes = np.concatenate(parts) @ (3 ** np.arange(LABELLERS)) if parts else []
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), b.column(0)], ["code", "id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -215,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         return Model(np.zeros(DIMS), table, prior)
 
     def train(batches):
-        for b in batches:
+        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in row_slices(b.column(1))):
             texts = Texts(b.column(1))
             codes = texts.votes() @ (3 ** np.arange(LABELLERS))
             doc, dim, value = texts.features()
@@ -244,7 +248,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     def add(batches):
         for b in batches:
-            s = Texts(b.column(at)).scores(weights.value)
+            parts = [Texts(b.column(at).slice(lo, hi - lo)).scores(weights.value) for lo, hi in row_slices(b.column(at))]
+            s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= threshold)], [*b.schema.names, "quality_score", "quality_keep"])
 
     return docs.mapInArrow(add, schema)
