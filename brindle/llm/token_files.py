@@ -62,8 +62,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS) ->
         tops[c] = np.maximum(m[:, : m.shape[1] - (c - half)], m[:, c - half :])
     choice = np.empty((blocks, block), np.uint8)
     for s in range(len(COUNTS) - 1, -1, -1):  # the last that fits packs most
-        fits = tops[int(COUNTS[s])][:, :block] <= BITS[s]
-        choice[fits] = s
+        np.copyto(choice, np.uint8(s), where=tops[int(COUNTS[s])][:, :block] <= np.uint8(BITS[s]))
     choice = choice.reshape(-1)
     take = COUNTS[choice]
     pos, stop = np.arange(blocks) * block, np.minimum(np.arange(1, blocks + 1) * block, n)
