@@ -14,11 +14,12 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, and documents link when
    to the pivot that shares the most regions with it, and its distance to this pivot is computed
    exactly.  Distances of at most r are links.
 3. Recursion.  Regions whose documents lie in one component by now are done.  In the others further
-   pivots, from the rarest component first, are held against the documents of other components;
+   pivots, first from the largest component and then from the rarest, are held against the documents of
+   other components;
    |d(x, p) - d(y, p)| > r for a common pivot p rules a pair out.  Tested pivots leave the region,
    until each region holds one component or one document.
 
-Before texts are fetched for a distance, a sketch (hash counts in about half as many cells as the set
+Before texts are fetched for a distance, a sketch (hash counts in about as many cells as the set
 has shingles) bounds the overlap of the pair from above; pairs it proves to be too far are dropped.
 
 Documents with equal sets are one point (a class) throughout, so copies are never expanded into
@@ -32,26 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import all_shingles, components, keep_probable, materialise, release, string_buffers, word_hashes
+from ._common import all_shingles, components, keep_probable, materialise, release, row_slices, string_buffers, word_hashes
 
-#: Shingles put last in the order, at most this many (2 MB).  Affects speed, never the result.
-MAX_FREQUENT = 1 << 18
+#: Shingles put last in the order, at most this many (8 MB).  Affects speed, never the result.
+MAX_FREQUENT = 1 << 20
 #: A shingle that one batch holds in so many documents counts towards the frequent ones.
-LOCAL_REPEATS = 4
+LOCAL_REPEATS = 2
 FREQUENT = 16
 #: Documents sent along with one copy of a pivot.
 SALT_ROWS = 64
-#: Pivots that a region tests in one round of the recursion.
-PIVOTS_A_ROUND = 32
+#: Pivots that a region tests in the rounds of the recursion; the last number holds for all later ones.
+#: In the first HUB_ROUNDS they come from a region's largest component, later from the rarest.
+PIVOTS_A_ROUND = (1, 1, 8, 64, 512, 4096)
+HUB_ROUNDS = 2
 
 
 def _sets(text: pa.Array, n: int):
     """The shingle set (sorted distinct hashes) of each text of a batch."""
-    data, off = string_buffers(text)
-    w, bounds = word_hashes(data, off)
-    sh, at = all_shingles(w, bounds, n)
-    for i in range(len(text)):
-        yield np.unique(sh[at[i] : at[i + 1]])
+    for lo, hi in row_slices(text):
+        w, bounds = word_hashes(*string_buffers(text.slice(lo, hi - lo)))
+        sh, at = all_shingles(w, bounds, n)
+        for i in range(hi - lo):
+            yield np.unique(sh[at[i] : at[i + 1]])
 
 
 def _set_hash(s: np.ndarray) -> int:
@@ -64,11 +67,11 @@ def _set_hash(s: np.ndarray) -> int:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's hashes by their low bits, a third to two thirds as many cells as hashes.
+    """Counts of a set's hashes by their low bits, two to four thirds as many cells as hashes.
 
     The overlap of two sets is at most the sum of the lesser counts of each cell.  A count of 255 may
     stand for more, and then the sketch is empty and bounds nothing."""
-    cells = 1 << max(0, (max(len(s), 1) - 1) // 3 * 2 or 1).bit_length() - 1
+    cells = 1 << (4 * max(len(s), 1) // 3).bit_length() - 1
     counts = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 255 else b""
 
@@ -86,8 +89,9 @@ def _overlap_bound(a: bytes, b: bytes) -> int:
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sketches allow a link; what goes is proven to be farther than the radius."""
-    side = lambda c: sketches.select(F.col("h").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
+    """Of pairs (x, p), with x_rep and p_rep added, those whose sketches allow a link; what goes is proven
+    to be farther than the radius."""
+    side = lambda c: sketches.select(F.col("h").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
     rows = pairs.join(side("x"), "x").join(side("p"), "p").select("x", "p", "x_rep", "p_rep", "x_n", "p_n", "x_s", "p_s")
 
     def test(batches):
@@ -183,23 +187,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sig = materialise(docs.select(F.col("_id").cast("long").alias("_id"), "_t").mapInArrow(signatures, "id long, n long, h long, prefix array<long>, sketch binary"), "sig")
     classes = sig.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    sketches = materialise(classes.select("h", "rep", "n", "sketch"), "sketches")
+    classes = materialise(classes, "classes")
+    sketches = classes.select("h", "rep", "n", "sketch")
+    fits = lambda a, b: (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b))
 
-    # Outer regions: (shingle, band) with at least two classes.
+    # Outer regions with at least two classes; g names a shingle and a band.
     shingle = Window.partitionBy("s")
-    rows = classes.select("h", "rep", "n", F.explode("prefix").alias("s")).withColumn("c", F.count("*").over(shingle)).where("c > 1").drop("c")
+    rows = classes.select("h", "n", F.explode("prefix").alias("s")).withColumn("c", F.count("*").over(shingle)).where("c > 1").drop("c")
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-    rows = rows.withColumn("band", F.explode(F.array(band, band - 1)))
-    region = Window.partitionBy("s", "band")
-    rows = rows.withColumn("c", F.count("*").over(region)).withColumn("pivot", F.min(F.struct("h", "rep", "n")).over(region)).where("c > 1").drop("c")
-    regions = materialise(rows, "regions")
+    rows = rows.withColumn("band", F.explode(F.array(band, band - 1))).select(F.xxhash64("s", "band").alias("g"), "h", "n")
+    region = Window.partitionBy("g")
+    rows = rows.withColumn("c", F.count("*").over(region)).withColumn("pivot", F.min(F.struct("h", "n")).over(region)).where("c > 1")
+    regions = materialise(rows.select("g", "h", "n", F.col("pivot.h").alias("ph"), F.col("pivot.n").alias("pn")), "regions")
 
     # Inner regions: each class and its pivot.
-    fits = lambda a, b: (F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b))
-    votes = regions.where((F.col("h") != F.col("pivot.h")) & fits(F.col("n"), F.col("pivot.n"))).groupBy("h", "pivot").agg(F.count("*").alias("v"), F.first("rep").alias("rep"), F.first("n").alias("n"))
-    best = votes.groupBy("h", "rep", "n").agg(F.max_by("pivot", F.struct("v", F.col("pivot.h"))).alias("q"))
-    pairs = best.select(F.col("h").alias("x"), F.col("q.h").alias("p"), F.col("rep").alias("x_rep"), F.col("q.rep").alias("p_rep"))
-    pairs = materialise(_possible(pairs, sketches, num, den), "pairs")
+    votes = regions.where((F.col("h") != F.col("ph")) & fits(F.col("n"), F.col("pn"))).groupBy("h", "ph").agg(F.count("*").alias("v"))
+    best = votes.groupBy("h").agg(F.max_by("ph", F.struct("v", "ph")).alias("p")).withColumnRenamed("h", "x")
+    pairs = materialise(_possible(best, sketches, num, den), "pairs")
     tested = materialise(_distances(pairs, docs, "_id", "_t", words), "tested")
     centre = tested.select(F.col("x").alias("h"), F.col("p").alias("centre"), (1 - F.col("inter") / F.col("uni")).alias("dist"))
     linked = (F.lit(den) * F.col("inter") >= F.lit(num) * F.col("uni"))
@@ -207,30 +211,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = components(edges[0])
 
     # Recursion: regions with several components test further pivots.
-    alive = regions.select("s", "band", "h", "rep", "n")
+    alive = regions.select("g", "h", "n")
     done = tested.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
     radius = 1 - num / den
+    turns = 0
     while True:
         at = alive.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-        open_ = at.groupBy("s", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s", "band")
-        at = materialise(at.join(open_, ["s", "band"], "left_semi"), "open")
+        open_ = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
+        at = materialise(at.join(open_, "g", "left_semi"), "open")
         if at.isEmpty():
             break
-        size = at.groupBy("s", "band", "component").agg(F.count("*").alias("size"))
-        turn = Window.partitionBy("s", "band").orderBy("size", "component", "h")
-        pivots = at.join(size, ["s", "band", "component"]).withColumn("k", F.row_number().over(turn)).where(F.col("k") <= PIVOTS_A_ROUND)
-        pivots = materialise(pivots.select("s", "band", "h", "rep", "n", "component"), "pivots")
+        size = at.groupBy("g", "component").agg(F.count("*").alias("size"))
+        turn = Window.partitionBy("g").orderBy(F.desc("size") if turns < HUB_ROUNDS else F.asc("size"), "component", "h")
+        pivots = at.join(size, ["g", "component"]).withColumn("k", F.row_number().over(turn)).where(F.col("k") <= PIVOTS_A_ROUND[min(turns, len(PIVOTS_A_ROUND) - 1)])
+        turns += 1
+        pivots = materialise(pivots.select("g", "h", "n", "component"), "pivots")
         c2 = lambda p: centre.select(F.col("h").alias(f"{p}h"), F.col("centre").alias(f"{p}c"), F.col("dist").alias(f"{p}d"))
         cand = (
-            at.alias("x").join(pivots.alias("p"), ["s", "band"])
+            at.alias("x").join(pivots.alias("p"), "g")
             .where((F.col("x.component") != F.col("p.component")) & fits(F.col("x.n"), F.col("p.n")))
-            .select(F.col("x.h").alias("x"), F.col("p.h").alias("p"), F.col("x.rep").alias("x_rep"), F.col("p.rep").alias("p_rep"))
-            .dropDuplicates(["x", "p"])
-            .withColumn("a", F.least("x", "p")).withColumn("b", F.greatest("x", "p")).dropDuplicates(["a", "b"])
+            .select(F.col("x.h").alias("x"), F.col("p.h").alias("p"))
+            .withColumn("a", F.least("x", "p")).withColumn("b", F.greatest("x", "p"))
+            .groupBy("a", "b").agg(F.max_by("x", F.struct("x", "p")).alias("x"), F.max_by("p", F.struct("x", "p")).alias("p"))
             .join(done, ["a", "b"], "left_anti")
             .join(c2("_x"), F.col("x") == F.col("_xh"), "left").join(c2("_p"), F.col("p") == F.col("_ph"), "left")
             .where((F.col("_xc") != F.col("_pc")) | F.col("_xc").isNull() | F.col("_pc").isNull() | (F.abs(F.col("_xd") - F.col("_pd")) <= radius + 1e-9))
-            .select("x", "p", "x_rep", "p_rep")
+            .select("x", "p")
         )
         cand = materialise(_possible(cand, sketches, num, den), "cand")
         now = materialise(_distances(cand, docs, "_id", "_t", words), "tested")
@@ -241,7 +247,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for e in edges[1:]:
                 every = every.union(e)
             comp = components(every)
-        alive = materialise(at.join(pivots.select("s", "band", "h"), ["s", "band", "h"], "left_anti").select("s", "band", "h", "rep", "n"), "alive")
+        alive = materialise(at.join(pivots.select("g", "h"), ["g", "h"], "left_anti").select("g", "h", "n"), "alive")
         release(cand, at, pivots)
 
     label = sketches.select("h", "rep").join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
