@@ -209,6 +209,19 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_low_intrinsic_dimension(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 256))
+    x = np.concatenate((x, x[:100], 3 * x[:50]))  # equal vectors, and equal directions
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    want = {k: int(n) - 1 for k, n in enumerate(links.sum(axis=1))}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert {k: n for k, (n, _) in got.items()} == want
+    assert {k: c for k, (_, c) in got.items()} == groups([(a, b) for a, b in zip(*np.nonzero(links)) if a < b], list(want))
+
+
 # --------------------------------------------------------------------------- 5 Jaccard join
 
 
