@@ -4,13 +4,15 @@ An item of L words is held against every window of L words of every document (th
 if it is shorter).  Shingles are five words; the similarity of a window and an item is the sum of the
 lesser multiplicities of their shingles over the sum of the greater.
 1. Windows without any shingle of an item of their length have similarity 0 and are skipped.
-2. The others get a 256-bit SimHash of their shingles, weighted by multiplicity, from running sums.
+2. The others get a 256-bit SimHash of their shingles, from running sums.  The k-th occurrence of a
+   shingle in a window is an element of its own, so the similarity is that of two sets of elements
+   and a repeated shingle weighs no more than as many different ones.
 3. A multi-index finds the items: fingerprints are cut into 32 blocks of 8 bits, and of two
    fingerprints within RADIUS bits at least one block differs in at most RADIUS // 32 bits, so the
    union of these blocks' neighbours loses none; the whole distance is checked next.
 4. The exact similarity decides.
 At similarity 0.75 the fingerprints differ in 44 bits on average, 6 standard deviation; RADIUS lies
-more than 6 deviations above, and chance pairs (128 on average) lie 5 above it."""
+some 6 deviations above, and chance pairs (128 on average) lie 5 above it."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _rng_u64, all_shingles, mix64, row_slices, shingles, string_buffers, word_hashes
+from ._common import _R, _rng_u64, all_shingles, mix64, row_slices, shingles, string_buffers, word_hashes
 
 WORDS, RADIUS, LANES = 5, 84, 4
 #: Words of items that one pass over the documents takes along (about 16 MB); more items, more passes.
@@ -36,6 +38,45 @@ def signs(sh: np.ndarray) -> np.ndarray:
     return np.unpackbits(lanes.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
+def elements(sh: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One hash for the k-th (from 1) occurrence of each shingle."""
+    return sh + (k - 1).astype(np.uint64) * _R
+
+
+class Occurrences:
+    """Positions of equal shingles, to count them in windows."""
+
+    def __init__(self, sh: np.ndarray):
+        self.span = 2 * len(sh) + 1
+        group = np.unique(sh, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        self.key = group * self.span + np.arange(len(sh))
+        self.sorted = np.sort(self.key)
+        self.rank = np.searchsorted(self.sorted, self.key)
+
+    def since(self, p: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Occurrences of each shingle p in start..p."""
+        return self.rank[p] - np.searchsorted(self.sorted, self.key[p] - (p - start)) + 1
+
+    def until(self, p: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Occurrences of each shingle p in p..end - 1."""
+        return np.searchsorted(self.sorted, self.key[p] + (end - p)) - self.rank[p]
+
+
+def window_sums(sh: np.ndarray, at: Occurrences, first: int, count: int, m: int) -> np.ndarray:
+    """Sums of signs of the elements of the windows of m shingles at first, first + 1, ..."""
+    p = np.arange(first, first + m)
+    out = np.empty((count, 64 * LANES), np.int32)
+    out[0] = 0
+    for lo in range(0, m, 4096):
+        q = p[lo : lo + 4096]
+        out[0] += signs(elements(sh[q], at.since(q, np.full(len(q), first)))).sum(axis=0, dtype=np.int32)
+    if count > 1:
+        gone, new = np.arange(first, first + count - 1), np.arange(first + m, first + m + count - 1)
+        out[1:] = signs(elements(sh[new], at.since(new, gone + 1)))
+        out[1:] -= signs(elements(sh[gone], at.until(gone, gone + m)))
+    return np.cumsum(out, axis=0, dtype=np.int32)
+
+
 def simhash(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
@@ -47,7 +88,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.sets = [Counter(s.tolist()) for _, s in items]
         self.size = [len(s) for _, s in items]
-        self.prints = np.concatenate([simhash(signs(s).sum(axis=0, dtype=np.int32)[None]) for _, s in items])
+        self.prints = np.concatenate([simhash(window_sums(s, Occurrences(s), 0, 1, len(s))) for _, s in items])
         self.radius = radius
         values, blocks = np.arange(256, dtype=np.uint8), self.prints.shape[1]
         self.near = np.stack([_POP[values[:, None] ^ self.prints[:, b]] <= radius // blocks for b in range(blocks)])
@@ -108,6 +149,7 @@ class Matcher:
 
     def _document(self, sh: np.ndarray, words: int) -> dict:
         found: dict = {}
+        at = None
         for length, index in self.by_length.items():
             hits = np.flatnonzero(np.isin(sh, index.all))
             if not len(hits):
@@ -117,12 +159,12 @@ class Matcher:
             mark = np.zeros(last + 2, np.int32)
             np.add.at(mark, np.minimum(np.maximum(hits - m + 1, 0), last + 1), 1)
             np.add.at(mark, np.minimum(hits, last) + 1, -1)
+            at = at or Occurrences(sh)
             starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 for lo in range(0, len(run), 4096):  # bounded memory in long runs
                     part = run[lo : lo + 4096]
-                    total = np.concatenate((np.zeros((1, 64 * LANES), np.int32), np.cumsum(signs(sh[part[0] : part[-1] + m]), axis=0, dtype=np.int32)))
-                    win, item = index.candidates(simhash(total[m : m + len(part)] - total[: len(part)]))
+                    win, item = index.candidates(simhash(window_sums(sh, at, int(part[0]), len(part), m)))
                     for k, i in zip(win.tolist(), item.tolist()):
                         here = Counter(sh[part[k] : part[k] + m].tolist())
                         both = (here & index.sets[i]).total()

@@ -177,6 +177,31 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df.limit(0), it).count() == 0 and decontaminate.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    rng = np.random.default_rng(12)
+    items, docs = [], []
+    for k, (n, cut) in enumerate([(100, 12), (100, 12), (200, 26), (200, 26), (400, 55)]):
+        item = [f"i{k}w{j}" for j in range(n)]
+        if k % 2:  # blanks of its own at the end
+            item[-cut // 2 :] = ["____"] * len(item[-cut // 2 :])
+        copy = [*item[:-cut], *["[MASK]"] * cut]
+        items.append((k, " ".join(item)))
+        docs += [(2 * k, " ".join(copy)), (2 * k + 1, " ".join([*rng.choice(["p", "q"], 30), *copy, *["[MASK]"] * 9, "end"]))]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.word_at) for r in decontaminate.find_leaks(docs_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and len(want) >= 8
+
+
+def test_window_sums_count_occurrences():
+    sh = np.random.default_rng(13).integers(0, 6, 60, dtype=np.uint64)
+    for m in (1, 7, 60):
+        got = decontaminate.window_sums(sh, decontaminate.Occurrences(sh), 0, 61 - m, m)
+        for s in range(61 - m):
+            win = sh[s : s + m]
+            k = np.array([(win[: j + 1] == x).sum() for j, x in enumerate(win)])
+            assert (got[s] == decontaminate.signs(decontaminate.elements(win, k)).sum(axis=0, dtype=np.int32)).all()
+
+
 def test_multi_index_guarantee():
     rng = np.random.default_rng(5)
     items = [(k, rng.integers(0, 1 << 64, 30, dtype=np.uint64)) for k in range(20)]
