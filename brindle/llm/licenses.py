@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier with an unknown class and template confirmation.
 
-A paragraph (line) that holds a cue word is described by its word 1-, 2- and 3-grams over a sparse
+Notices may be wrapped at any width: a paragraph is a line or a run of adjacent lines without a blank
+one (one without letters and digits).  A paragraph that holds a cue word is described by its word 1-, 2- and 3-grams over a sparse
 vocabulary, that of the licence templates.  Multinomial logistic regression, trained on slices of the
 templates, on non-licence sentences and on a bounded sample of corpus lines, gives each family a
 probability.  The threshold under which a paragraph is `unknown` is calibrated on held-out slices.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
@@ -51,6 +52,9 @@ NON_LICENCES = [
 #: Fixed value: a paragraph is looked at if one of these occurs in it.
 CUES = r"(?i)licen[cs]e|copyright|all rights|permission is|redistribut|public domain|free software|creative commons"
 
+#: The same across line ends and comment signs.
+SPREAD = CUES.replace(" ", r"[^\p{L}\p{N}]+")
+
 NONE, UNKNOWN = "none", "unknown"
 CORPUS_SAMPLE = 500  # lines of the corpus that train the class `none`
 CONFIRM = 0.6
@@ -120,27 +124,65 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = CORPUS_SAMPLE)
     return Classifier(vocabulary, learner.fit(vectors), classes, threshold)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classifier: Classifier | None = None) -> DataFrame:
-    """Each paragraph with a cue word: id_col, paragraph (line number from 0), family or `unknown`,
-    probability, similarity (share of the closest template's 3-grams, or of all its words for shorter
-    ones, that the paragraph contains) and confirmed.
+def _paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int, share) -> DataFrame:
+    """(key, block, id, a, b, base, w): lines a..b of a document's block.  base marks lines with a cue,
+    and pairs of lines that hold one only together; the others are runs of lines that hold a cue and
+    enough of some template, as share(words) says.
+
+    Runs end where the lines between the first and the last have half as many words again as the longest
+    template, so each line starts a bounded number of them, and each occurrence of a template is in one."""
+    most = longest + longest // 2
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike(SPREAD)).withColumn("key", F.monotonically_increasing_id())
+    lines = texts.select("key", "id", F.posexplode(F.split("t", "\n")).alias("a", "line")).withColumn("blank", ~F.col("line").rlike(r"[\p{L}\p{N}]"))
+    doc = Window.partitionBy("key").orderBy("a")
+    lines = lines.withColumn("block", F.sum(F.col("blank").cast("int")).over(doc)).where("not blank").drop("blank")
+    run = Window.partitionBy("key", "block").orderBy("a")
+    lines = lines.withColumn("next", F.coalesce(F.lead("line").over(run), F.lit(""))).withColumn("cue", F.concat_ws(" ", "line", "next").rlike(SPREAD))
+    # lines in reach of a cue; every line of a block has a word
+    lines = lines.withColumn("near", F.max("cue").over(run.rowsBetween(-most - 1, most + 1))).where("near")
+    lines = lines.withColumn("n", F.size(words_of(F.col("line")))).withColumn("upto", F.sum("n").over(run))
+    lines = lines.withColumn("ahead", F.collect_list(F.struct("a", "line", (F.col("upto") - F.col("n")).alias("before"))).over(run.rowsBetween(0, most + 1)))
+    lines = lines.withColumn("ahead", F.filter("ahead", lambda x: (x.before < F.col("upto") + most)))
+    joined = lambda last: F.array_join(F.transform(F.slice("ahead", 1, last), lambda x: x.line), " ")
+    split = F.col("cue") & ~F.col("line").rlike(SPREAD) & ~F.col("next").rlike(SPREAD)
+    base = F.when(F.col("line").rlike(CUES), 1).when(split, 2)
+    whole = lines.withColumn("base_size", base).withColumn("w", words_of(joined(F.size("ahead"))))
+    runs = F.when((F.size("ahead") > 1) & joined(F.size("ahead")).rlike(SPREAD) & (share(F.col("w")) >= CONFIRM), F.sequence(F.lit(1), F.size("ahead"))).otherwise(F.array().cast("array<int>"))
+    sizes = F.array_distinct(F.concat(F.filter(F.array("base_size"), lambda x: x.isNotNull()), runs))
+    each = whole.withColumn("size", F.explode(sizes)).withColumn("text", joined(F.col("size")))
+    each = each.where(F.col("text").rlike(SPREAD)).withColumn("w", words_of(F.col("text")))
+    return each.select("key", "block", "id", "a", F.element_at("ahead", F.col("size")).a.alias("b"), F.coalesce(F.col("size") == F.col("base_size"), F.lit(False)).alias("base"), "w")
 
-    `unknown` are paragraphs whose best class is `none`, is under the calibrated threshold, or is not
-    confirmed by a template.  Null and empty texts and empty tables give no rows; null and repeated ids
-    keep their rows; other columns are ignored."""
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classifier: Classifier | None = None) -> DataFrame:
+    """Each paragraph with a cue word: id_col, paragraph (number of its first line from 0), family or
+    `unknown`, probability, similarity (share of the closest template's 3-grams, or of all its words for
+    shorter ones, that the paragraph contains) and confirmed.
+
+    A notice wrapped over adjacent lines is one row.  Of confirmed paragraphs that overlap, the one that
+    holds most 3-grams of a template is given, and of equal ones that of fewest lines; a line with a cue outside all of
+    them is `unknown`.  `unknown` are paragraphs whose best class is `none`, is under the calibrated
+    threshold, or is not confirmed by a template.  Null and empty texts and empty tables give no rows;
+    null and repeated ids keep their rows; other columns are ignored."""
     classifier = classifier or train(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line")).where(F.col("line").rlike(CUES))
-    rows = materialise(rows.withColumn("w", words_of(F.col("line"))), "license-lines")
-    scored = classifier.probabilities(rows)
     grams = lambda w: F.array_distinct(F.when(F.size(w) >= 3, ngrams(w, 3, 3)).otherwise(F.array(F.array_join(w, " "))))
-    templates = [r.asDict() for r in _templates(docs.sparkSession).select("family", grams(F.col("w")).alias("g")).collect()]
-    every = F.concat(grams(F.col("w")), F.col("w"), ngrams(F.col("w"), 2, 2))
-    alike = {}
-    for t in templates:
-        alike.setdefault(t["family"], []).append(F.size(F.array_intersect(F.col("_all"), F.array(*map(F.lit, t["g"])))) / F.lit(len(t["g"])))
-    similarity = F.lit(0.0)
-    for family, each in alike.items():
-        similarity = F.when(F.col("family") == family, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(similarity)
-    scored = scored.withColumn("_all", every).withColumn("similarity", similarity)
-    sure = (F.col("family") != NONE) & (F.col("probability") >= classifier.threshold) & (F.col("similarity") >= CONFIRM)
-    return scored.select(F.col("id").alias(id_col), "paragraph", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", sure.alias("confirmed"))
+    templates = [r.asDict() for r in _templates(docs.sparkSession).select("family", F.size("w").alias("n"), grams(F.col("w")).alias("g")).collect()]
+    every = lambda w: F.concat(grams(w), w, ngrams(w, 2, 2))
+    alike = lambda held, t: F.size(F.array_intersect(held, F.array(*map(F.lit, t["g"])))) / F.lit(len(t["g"]))
+    rows = _paragraphs(docs, id_col, text_col, max(t["n"] for t in templates), lambda w: F.greatest(*(alike(every(w), t) for t in templates)))
+    scored = classifier.probabilities(materialise(rows, "license-lines")).withColumn("_all", every(F.col("w")))
+    similarity, held = F.lit(0.0), F.lit(0.0)
+    for family in {t["family"]: None for t in templates}:
+        each = [(alike(F.col("_all"), t), len(t["g"])) for t in templates if t["family"] == family]
+        similarity = F.when(F.col("family") == family, F.greatest(F.lit(0.0), *(x for x, _ in each))).otherwise(similarity)
+        held = F.when(F.col("family") == family, F.greatest(F.lit(0.0), *(F.when(x >= CONFIRM, x * n) for x, n in each))).otherwise(held)
+    scored = scored.withColumn("similarity", similarity).withColumn("held", F.round(held))
+    scored = scored.withColumn("sure", (F.col("family") != NONE) & (F.col("probability") >= classifier.threshold) & (F.col("similarity") >= CONFIRM)).where("sure or base")
+    row = F.struct((-F.col("held")).alias("rank"), (F.col("b") - F.col("a")).alias("more"), "a", "b", "family", "probability", "similarity", "sure", "base")
+    block = scored.groupBy("key", "block").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(row)).alias("rows"))
+    apart = lambda some, x: ~F.exists(some, lambda p: (p.a <= x.b) & (x.a <= p.b))
+    picked = F.aggregate(F.filter("rows", lambda x: x.sure), F.filter("rows", lambda x: F.lit(False)), lambda some, x: F.when(apart(some, x), F.concat(some, F.array(x))).otherwise(some))
+    block = block.withColumn("picked", picked)
+    block = block.withColumn("left", F.filter("rows", lambda x: x.base & apart(F.col("picked"), x)))
+    out = block.select("id", F.explode(F.concat("picked", "left")).alias("x")).select("id", "x.*")
+    return out.select(F.col("id").alias(id_col), F.col("a").alias("paragraph"), F.when(F.col("sure"), F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", F.col("sure").alias("confirmed"))

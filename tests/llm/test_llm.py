@@ -126,6 +126,23 @@ def test_licenses(spark):
     assert got == [(0, 0, "cc-by-nc-4.0"), (1, 1, "apache-2.0"), (2, 0, "mit"), (2, 0, "proprietary"), (3, 0, "gpl-3.0"), (4, 0, "unknown"), (8, 0, "unknown")]
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    long = [(f, t) for f, t in licenses.TEMPLATES if len(t) > 120]
+    rows, want = [], []
+    for k, (f, t) in enumerate(long):
+        for width in (40, 75):
+            d = len(rows)
+            body = "\n".join(" * " + x for x in textwrap.wrap(t, width))
+            rows.append((d, f"/*\n * A tool to sort apples\n *\n{body}\n *\n */\nint main() {{}}"))
+            want.append((d, 3, f, True))
+    rows += [(100, "Some words of the day\nPermission\nto land was asked for\n\nPublic\ndomain"), (101, "All rights reserved.\nReleased under the MIT License.\nOur license server is down today.")]
+    want += [(100, 4, "unknown", False), (101, 0, "proprietary", True), (101, 1, "mit", True), (101, 2, "unknown", False)]
+    got = licenses.scan(docs_frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in got) == sorted(want)
+
+
 # --------------------------------------------------------------------------- 3 decontamination
 
 
