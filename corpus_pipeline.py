@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as leaks
 from brindle.llm import mixing, quality, token_files
-from brindle.llm._common import new_path
+from brindle.llm._common import materialise, new_path
 from brindle.llm.jaccard_join import ngram_jaccard_join
 from brindle.llm.queries import END_ID, vocabulary
 
@@ -22,10 +22,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked documents; rows of null id stay."""
-    groups = ngram_jaccard_join(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The document of least id of each group of linked documents; rows of null id stay.
+
+    Rows of one id are documents of their own: each is kept or removed by its own text, and one of
+    identical rows stays."""
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialise(docs.select(*COLUMNS).withColumn("_row", number), "rows")
+    groups = ngram_jaccard_join(rows.select("_row", "text"), id_col="_row").select("_row", "component_id")
+    least = F.min(F.struct("doc_id", F.xxhash64("text"), "_row"))
+    kept = groups.join(rows.select("_row", "doc_id", "text"), "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").unionByName(rows.where("_row is null")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -495,6 +495,16 @@ def test_oracle(spark, name):
     assert sorted(got.columns) == cols and plain(got) == plain(want)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = ("".join(f"{x}{k} " for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + "more"), (2, b), (3, c), (3, c), (4, c + "more"), (None, a), (5, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in got.where("text is not null").collect()) == sorted([(0, a), (1, a), (2, b), (3, c)])
+    assert [r.doc_id for r in got.where("text is null").collect()] == [5]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
