@@ -4,6 +4,7 @@ shingle hashing, and connected components."""
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir of the session, or one of our own where
-    it is unset (a local session in tests)."""
+    """Folder all executors share: spark.checkpoint.dir of the session.  Where it is unset, a local session
+    (in tests) gets one of our own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "brindle-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -66,6 +69,17 @@ def release(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+def least_hashes(df: DataFrame, key: str, k: int, total: int) -> DataFrame:
+    """The k rows of the least hashes `key` (uniform longs) of a table of `total` rows.
+
+    A threshold from the number of rows comes first, so that a partition sends few more than its share and
+    not k rows.  Rows that share a hash may leave fewer than k."""
+    share = (k + 10 * math.sqrt(k) + 10) / max(total, 1)
+    if share < 1:
+        df = df.where(F.col(key) <= int(share * 2.0**64) - 2**63)
+    return df.orderBy(key).limit(k)
+
+
 # --------------------------------------------------------------------------- id filters
 
 MAX_FILTER_BITS = 1 << 25  # 4 MB of bitmap at most, whatever the number of ids
@@ -127,7 +141,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 
 # --------------------------------------------------------------------------- text in Arrow
 
-SEGMENT = 1 << 21  # bytes hashed at once
+SEGMENT = 1 << 19  # bytes hashed at once
 
 
 def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

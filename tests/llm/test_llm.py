@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import _common, chat, decontaminate, embed_dedup, encoding, licenses, line_dedup, mixing, quality, queries, token_counts, token_files
-from brindle.llm.jaccard_join import _overlap_bound, _sketch, ngram_jaccard_join
+from brindle.llm.jaccard_join import _extra, _in_order, _Region, ngram_jaccard_join
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,6 +143,36 @@ def test_wrapped_licenses(spark):
     assert sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in got) == sorted(want)
 
 
+PROBES = ["CC BY 4.0", "SPDX: MIT", "THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"]
+
+
+def test_licenses_without_cues_and_edges(spark):
+    """Notices without a cue word, repeated rows, an extra column of a clashing name and an empty table."""
+    rows = [(k, f"Some prose of the day.\n{t}\nmore prose", "x") for k, t in enumerate(PROBES)] + [(0, f"Some prose of the day.\n{PROBES[0]}\nmore prose", "x"), (50, "To the extent possible under law, the author has waived\nall copyright and related rights to this work. This work is dedicated to the public domain.", "x")]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs_frame(spark, rows, ", family string")).collect())
+    assert got == [(0, 1, "cc-by-4.0"), (0, 1, "cc-by-4.0"), (1, 1, "mit"), (2, 1, "mit"), (3, 1, "isc"), (50, 0, "cc0")]
+    assert licenses.scan(docs_frame(spark, [])).count() == 0
+
+
+def test_licenses_planted_recall(spark):
+    """Notices cut at either end and wrapped at random widths, among prose of the corpus."""
+    import textwrap
+
+    rng = np.random.default_rng(8)
+    prose = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) between 200 and 3000").orderBy("doc_id").limit(120).collect()]
+    rows, want = [], []
+    for k, text in enumerate(prose):
+        family, notice = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        w = notice.split()
+        if len(w) > 12:
+            w = w[int(rng.integers(0, len(w) // 6)) :]
+        body = "\n".join(textwrap.wrap(" ".join(w), int(rng.integers(35, 90))))
+        rows.append((k, f"{text}\n\n{body}\n\nend"))
+        want.append((k, family))
+    got = {(r.doc_id, r.family) for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    assert sum(x in got for x in want) >= 0.9 * len(want)
+
+
 # --------------------------------------------------------------------------- 3 decontamination
 
 
@@ -225,10 +255,14 @@ def test_multi_index_guarantee():
     index = decontaminate.ItemIndex(items, 40)
     for _ in range(50):
         k, flips = int(rng.integers(20)), rng.choice(256, 40, replace=False)
-        bits = np.unpackbits(index.prints[k])
+        bits = np.unpackbits(index.prints[k].view(np.uint8))
         bits[flips] ^= 1
-        w, i = index.candidates(np.packbits(bits)[None])
+        w, i = index.candidates(np.packbits(bits).view(np.uint64)[None])
         assert k in i.tolist()
+    # few chance pairs get past the blocks
+    a, b = rng.integers(0, 1 << 64, (2, 20_000, decontaminate.LANES), dtype=np.uint64)
+    near = np.bitwise_count(a ^ b) <= decontaminate.RADIUS // decontaminate.LANES
+    assert near.any(axis=1).mean() < 0.05
 
 
 # --------------------------------------------------------------------------- 4 embeddings
@@ -293,14 +327,55 @@ def test_jaccard_join(spark):
     assert sorted(((r.doc_id or -1), (r.component_id or -1)) for r in ngram_jaccard_join(again).collect()) == [(-1, -1), (7, 7), (7, 7), (9, 7)]
 
 
-def test_sketch_bounds_overlap():
-    rng = np.random.default_rng(2)
-    for n in (1, 2, 3, 7, 50, 900):
-        for m in (1, 5, 40, 1200):
-            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
-            b = np.unique(np.concatenate((a[: m // 2], rng.integers(0, 1 << 64, m, dtype=np.uint64))))
-            assert _overlap_bound(_sketch(a), _sketch(b)) >= len(np.intersect1d(a, b))
-    assert _sketch(np.arange(600, dtype=np.uint64) << np.uint64(32)) == b"" and _overlap_bound(b"", b"\1") > 1 << 40
+@pytest.mark.parametrize(("block", "levels"), [(1 << 20, 3), (300, 3), (60, 2), (60, 1)])
+def test_jaccard_regions_split_exactly(spark, block, levels):
+    """Groups whose members lie around the radius of each other, in one region or in many small ones."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for size, change in ((60, 5), (40, 3), (30, 4)):
+        body = [f"b{size}w{k}" for k in range(110)]
+        for _ in range(size):
+            t = list(body)
+            for at in rng.choice(len(t), int(rng.integers(0, change)), replace=False):
+                t[int(at)] = f"n{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(t[int(rng.integers(0, 6)) :])))
+    sets = {d: shingle_set(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in range(a + 1, len(rows)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups(links, list(sets))
+    assert 3 < len(set(want.values())) < len(rows)
+    got = ngram_jaccard_join(docs_frame(spark, rows), block=block, levels=levels)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_lonely_points_have_no_partner():
+    """Of linked sets, each shares max(1, n // 8) of its first shingles with the first ones of the other."""
+    rng = np.random.default_rng(3)
+    for _ in range(4000):
+        n = int(rng.integers(1, 60))
+        m = int(rng.integers(-(-3 * n // 4), 4 * n // 3 + 1))
+        least = -(-75 * (n + m) // 175)
+        both = int(rng.integers(least, max(least, min(n, m)) + 1))
+        if both > min(n, m):
+            continue
+        every = rng.permutation(np.arange(n + m - both, dtype=np.uint64))
+        often = np.sort(rng.choice(every, len(every) // 3, replace=False))
+        firsts = []
+        for s in (every[:n], np.concatenate((every[:both], every[n:]))):
+            s, rare = _in_order(np.sort(s), often)
+            firsts.append((set(s[: len(s) - -(-75 * len(s) // 100) + _extra(len(s))].tolist()), len(s)))
+        (a, n), (b, m) = firsts
+        assert len(a & b) >= max(1, n // 8, m // 8)
+
+
+def test_region_links():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, int(rng.integers(1, 60)))) for _ in range(80)]
+    gap = lambda a, b: 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    region = _Region([(k, gap(s, sets[0]), k, s) for k, s in enumerate(sets)])
+    for k, s in enumerate(sets):
+        got = sorted(region.h[region.links(gap(s, sets[0]), k, s, 0.5, 1, 2)].tolist())
+        assert got == [j for j, t in enumerate(sets) if j != k and gap(s, t) <= 0.5]
 
 
 # --------------------------------------------------------------------------- 6, 7 token files
@@ -469,6 +544,20 @@ def test_layouts(spark):
     assert chat.fingerprint(["a", "b[].c"]) == chat.fingerprint(["b[].c", "a"]) != chat.fingerprint(["a"])
 
 
+def test_layouts_with_further_fields_and_unknown_ones(spark):
+    records = [
+        (1, {"messages": [{"role": "user", "content": "hi", "name": "x"}, {"content": None, "role": "bot"}], "id": 4}),
+        (2, {"weird": "lost text"}), (3, {"turn": 0, "role": "Assistant", "text": "a", "at": {"x": []}}), (3, {"turn": 1, "role": "assistant", "text": "b" * 70_000}), (1, {"weird": ""}),
+    ]
+    turns = chat.to_turns(spark.createDataFrame([(k, json.dumps(r), "x") for k, r in records], "conv_id long, record string, text string"))
+    assert sorted(r.conv_id for r in chat.unread(turns).collect()) == [1, 2]
+    parts = chat.format_chats(turns).collect()
+    assert sorted(p.conv_id for p in parts) == [1, 3] and "lost" not in str(parts)
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_chars == 0 and got[3].n_turns == 2 and got[3].loss_chars == 70_000
+    assert chat.to_turns(spark.createDataFrame([], "conv_id long, record string")).count() == 0
+
+
 def test_chats(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART_CHARS", 50)
     rows = [(1, 1, "assistant", "b</turn>"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, None, None, "x" * 9000), (None, 0, "system", "é"), (1, 2, "assistant", "")]
