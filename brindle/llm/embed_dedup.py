@@ -15,19 +15,17 @@ any size spreads over many tasks; a task sends the links of a run as a spanning
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, materialise
+from ._common import components, least_hashes, materialise
 
 SAMPLE = 20_000  # vectors that fit the quantisers
 MAX_CELLS = 4096
 SUBSPACES, CODES = 16, 256
-BLOCK, RUN = 2048, 8192
+BLOCK, RUN, PROBED = 2048, 8192, 1024
 SLACK = 1e-6
 
 
@@ -111,12 +109,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("id").isNotNull())
 
-    def keys(batches):
-        for b in batches:
-            h = [int.from_bytes(hashlib.blake2b(np.asarray(v, np.float64).tobytes(), digest_size=8).digest(), "little", signed=True) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h, pa.int64())], ["id", "v", "h"])
-
-    keyed = materialise(rows.where("ok").select("id", "v").mapInArrow(keys, "id long, v array<double>, h long"), "vectors")
+    keyed = materialise(rows.where("ok").select("id", "v", F.xxhash64("v").alias("h")), "vectors")
     classes = materialise(keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
     links, counts = [], []
     for dim in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
@@ -140,7 +133,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int) -> tuple
     spark = classes.sparkSession
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     total = classes.count()
-    picked = classes.orderBy("h").limit(sample).select("v").toArrow().column(0).combine_chunks()
+    picked = least_hashes(classes, "h", sample, total).select("v").toArrow().column(0).combine_chunks()
     index = spark.sparkContext.broadcast(Index(_unit(picked.flatten().to_numpy().reshape(-1, dim)), min(MAX_CELLS, max(1, int(4 * total**0.5)))))
 
     def encode(batches):
@@ -157,18 +150,22 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int) -> tuple
         radii[c], blocks[c] = far, -(-n // BLOCK)
 
     def probe(batches):
-        for b in batches:
+        k = len(index.value.centroids)
+        for b in (b.slice(lo, PROBED) for b in batches for lo in range(0, b.num_rows, PROBED)):
             x = _unit(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            k = len(index.value.centroids)
             hit = index.value.probes(x, b.column(3).to_numpy(), radii[:k], r)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([np.flatnonzero(h).astype(np.int32) for h in hit], pa.list_(pa.int32()))], ["h", "n", "v", "own", "cells"])
 
-    split = spark.createDataFrame([(int(c), int(blocks[c])) for c in lists], "cell int, blocks long")
-    asked = coded.select("h", "n", "v", F.col("cell").alias("own")).mapInArrow(probe, "h long, n long, v array<double>, own int, cells array<int>").select("h", "n", "v", "own", F.explode("cells").alias("cell"))
-    asked = asked.join(F.broadcast(split), "cell").withColumn("run", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-total // RUN)))))
-    queries = asked.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "run", F.lit(True).alias("query"), "h", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("err"), "own")
-    runs = F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-total // RUN)) - 1).cast("long"))
-    posts = coded.join(F.broadcast(split), "cell").select("cell", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("block"), F.explode(runs).alias("run"), F.lit(False).alias("query"), "h", "n", "v", "codes", "err", F.col("cell").alias("own"))
+    asked = coded.select("h", "n", "v", F.col("cell").alias("own")).mapInArrow(probe, "h long, n long, v array<double>, own int, cells array<int>")
+    asked = materialise(asked, "asked")
+    # a list goes, in blocks, to as many runs as its own queries make
+    asks = dict(asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect())
+    split = F.broadcast(spark.createDataFrame([(int(c), int(blocks[c]), -(-asks[c] // RUN)) for c in lists if c in asks], "cell int, blocks long, runs long"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    one = lambda c: F.pmod(F.xxhash64("h"), F.col(c))
+    queries = asked.select("h", "n", "v", "own", F.explode("cells").alias("cell")).join(split, "cell")
+    queries = queries.select("cell", each("blocks").alias("block"), one("runs").alias("run"), F.lit(True).alias("query"), "h", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("err"), "own")
+    posts = coded.join(split, "cell").select("cell", one("blocks").alias("block"), each("runs").alias("run"), F.lit(False).alias("query"), "h", "n", "v", "codes", "err", F.col("cell").alias("own"))
     work = posts.unionByName(queries).repartition("cell", "block", "run").sortWithinPartitions("cell", "block", "run", "query")
 
     def search(batches):
