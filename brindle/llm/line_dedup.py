@@ -1,38 +1,41 @@
-"""Repeated line runs, found by prefix doubling over line ids; later copies are deleted.
+"""Repeated line runs, found by a suffix array over line ids; later copies are deleted.
 
 A document is the sequence of its lines' 64-bit ids.  Lines that occur once end every repeat, so only
-stretches of repeated lines go on.  In a stretch, prefix doubling names the runs of 1, 2, 4, ... lines
-from each line on: name[k+1](i) = hash(name[k](i), name[k](i + 2**k)).  Suffixes that agree in their
-first L lines form an interval of the suffix array with a longest common prefix of L or more; the pair
-name[k](i), name[k](i + L - 2**k) with 2**k <= L < 2**(k+1) identifies it for any L.  (Names stand for
-ranks: only which suffixes belong together is used, not their order.)
+stretches of repeated lines go on, one row a line (a suffix).  Prefix doubling ranks the suffixes:
+rank[0] by line id, and rank[k + 1](i) is the place of (rank[k](i), rank[k](i + 2**k)) among all such
+pairs in a distributed sort, so rank[k] is the order of the suffix array by the first 2**k lines.
+Suffixes that agree in their first L lines are an interval of the array with a longest common prefix of
+at least L; with 2**k <= L < 2**(k + 1) it is the one of rank[k](i) and rank[k](i + L - 2**k).
 
 A run counts from min_words words on.  Every maximal repeated run is the union of its shortest runs
 that long from each of its lines forward and backward, so it is enough to look up these: in each
 interval the first occurrence by (document id, line) stays, and what all others cover is deleted.
 
-Only DataFrame functions are used; nothing larger than a document's stretch is held by one row."""
+Only DataFrame functions are used; nothing but a suffix is held by one row until deleted intervals are
+gathered by document."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, release
 
 MIN_WORDS = 50
 _LOWEST = -(1 << 63)
+_PLACE = ["id", "digest", "stretch", "pos"]
 
 
-def _name(levels: list[str], length: Column, at: Column) -> Column:
-    """Names (first, last) of the run of `length` lines from index `at`."""
-    k = F.floor(F.log2(length.cast("double"))).cast("int")
-    pick = lambda i: F.get(F.get(F.array(*levels), k), i)
-    return F.struct(length.alias("len"), pick(at).alias("x"), pick((at + length - F.pow(F.lit(2.0), k).cast("int")).cast("int")).alias("y"))
+def _ranked(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """rows with `name`: the place of (first, second) in the sorted order of all such pairs.
 
-
-def _double(names: str, step: int) -> Column:
-    return F.transform(names, lambda x, i: F.xxhash64(x, F.get(F.col(names), i + step)))
+    Pairs are sorted by range over all tasks; the number of the partition and the row in it make up the
+    place, so ranks rise with the order but are not dense."""
+    pairs = rows.select(F.col(first).alias("_a"), F.col(second).alias("_b")).distinct().repartitionByRange("_a", "_b").sortWithinPartitions("_a", "_b")
+    pairs = materialise(pairs.withColumn(name, F.monotonically_increasing_id() + 1), "ranks")
+    out = materialise(rows.join(pairs, (F.col(first) == F.col("_a")) & (F.col(second) == F.col("_b"))).drop("_a", "_b", "_next"), "suffixes")
+    release(pairs)
+    return out
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -60,22 +63,21 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ev = kept.select("id", "digest", "stretch", "pos", "h", event.alias("e")).select("id", "digest", "stretch", "pos", "h", "e.*")
     run = lambda *o: stretch.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("end", F.min("p").over(run(F.desc("at_f"), "kind"))).withColumn("start", F.max("p").over(run("at_b", "kind"))).where("kind = 1")
-    rows = ev.groupBy("id", "digest", "stretch").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "start", "end"))).alias("s"))
-    rows = materialise(rows.withColumn("longest", F.array_max(F.transform("s", lambda x: F.greatest(F.coalesce(x["end"] - x["pos"], F.lit(0)), F.coalesce(x["pos"] - x["start"], F.lit(0))) + 1))), "stretches")
-    longest = rows.agg(F.max("longest")).first()[0] or 1
-    levels = ["n0"]
-    rows = rows.withColumn("n0", F.col("s.h")).withColumn("first", F.get("s", F.lit(0))["pos"])
-    while (1 << len(levels)) <= longest:
-        prev, step = levels[-1], 1 << (len(levels) - 1)
-        levels.append(f"n{len(levels)}")
-        rows = rows.withColumn(levels[-1], _double(prev, step))
-    runs = rows.select("id", "digest", "first", *levels, F.explode(F.array_union(
-        F.transform(F.filter("s", lambda x: x["end"].isNotNull()), lambda x: F.struct(x["pos"].alias("a"), x["end"].alias("b"))),
-        F.transform(F.filter("s", lambda x: x["start"].isNotNull()), lambda x: F.struct(x["start"].alias("a"), x["pos"].alias("b"))),
-    )).alias("r"))
-    length = (F.col("r.b") - F.col("r.a") + 1).cast("int")
-    runs = runs.select("id", "digest", "r.a", "r.b", _name(levels, length, (F.col("r.a") - F.col("first")).cast("int")).alias("name")).select("id", "digest", "a", "b", "name.*")
-    runs = materialise(runs, "runs")
+    rows = materialise(ev.select(*_PLACE, "h", "start", "end"), "suffixes")
+    width = F.greatest(F.coalesce(F.col("end") - F.col("pos"), F.lit(0)), F.coalesce(F.col("pos") - F.col("start"), F.lit(0))) + 1
+    longest = rows.agg(F.max(width)).first()[0] or 1
+    rows, k = _ranked(rows.withColumn("_next", F.lit(0).cast("long")), "h", "_next", "rank0").drop("h"), 0
+    while 2 << k <= longest:
+        beyond = F.coalesce(F.lead(f"rank{k}", 1 << k).over(stretch.orderBy("pos")), F.lit(0).cast("long"))
+        rows, k = _ranked(rows.withColumn("_next", beyond), f"rank{k}", "_next", f"rank{k + 1}"), k + 1
+    ends = F.explode(F.array(F.struct(F.col("pos").alias("a"), F.col("end").alias("b")), F.struct(F.col("start").alias("a"), F.col("pos").alias("b"))))
+    runs = rows.select("id", "digest", "stretch", ends.alias("r")).select("id", "digest", "stretch", "r.*").where("a is not null and b is not null").distinct()
+    runs = runs.withColumn("len", F.col("b") - F.col("a") + 1).withColumn("k", F.floor(F.log2(F.col("len").cast("double"))).cast("int"))
+    runs = runs.withColumn("mid", (F.col("b") + 1 - F.pow(F.lit(2.0), F.col("k"))).cast("int"))
+    ranks = rows.select("id", "digest", "stretch", F.col("pos").alias("at"), F.array(*(f"rank{j}" for j in range(k + 1))).alias("ranks"))
+    look = lambda at, name: ranks.withColumnsRenamed({"at": at, "ranks": name})
+    runs = runs.join(look("a", "_x"), ["id", "digest", "stretch", "a"]).join(look("mid", "_y"), ["id", "digest", "stretch", "mid"])
+    runs = materialise(runs.select("id", "digest", "a", "b", "len", F.get("_x", F.col("k")).alias("x"), F.get("_y", F.col("k")).alias("y")), "runs")
     here = F.struct("id", "digest", "a")
     first = runs.groupBy("len", "x", "y").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo <> hi").drop("hi")
     later = runs.join(first, ["len", "x", "y"]).where(here > F.col("lo")).select("id", "digest", "a", "b").distinct()
