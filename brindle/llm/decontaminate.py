@@ -7,9 +7,10 @@ lesser multiplicities of their shingles over the sum of the greater.
 2. The others get a 256-bit SimHash of their shingles, from running sums.  The k-th occurrence of a
    shingle in a window is an element of its own, so the similarity is that of two sets of elements
    and a repeated shingle weighs no more than as many different ones.
-3. A multi-index finds the items: fingerprints are cut into 32 blocks of 8 bits, and of two
-   fingerprints within RADIUS bits at least one block differs in at most RADIUS // 32 bits, so the
-   union of these blocks' neighbours loses none; the whole distance is checked next.
+3. A multi-index finds the items: fingerprints are cut into LANES blocks of 64 bits, and of two
+   fingerprints within RADIUS bits at least one block differs in at most RADIUS // LANES bits (one in
+   sixty of chance pairs does), so the union over the blocks loses none; the whole distance is checked
+   next.
 4. The exact similarity decides.
 At similarity 0.75 the fingerprints differ in 44 bits on average, 6 standard deviation; RADIUS lies
 some 6 deviations above, and chance pairs (128 on average) lie 5 above it."""
@@ -29,7 +30,8 @@ WORDS, RADIUS, LANES = 5, 84, 4
 #: Words of items that one pass over the documents takes along (about 16 MB); more items, more passes.
 PASS_WORDS = 1 << 20
 _LANE = _rng_u64(21, LANES)
-_POP = np.array([bin(k).count("1") for k in range(256)], np.uint8)
+#: Pairs of windows and items compared at once (16 MB for each block).
+PAIRS = 1 << 21
 
 
 def signs(sh: np.ndarray) -> np.ndarray:
@@ -78,7 +80,8 @@ def window_sums(sh: np.ndarray, at: Occurrences, first: int, count: int, m: int)
 
 
 def simhash(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1)
+    """(window, LANES) of 64-bit blocks."""
+    return np.packbits(sums > 0, axis=1).view(np.uint64)
 
 
 class ItemIndex:
@@ -90,18 +93,21 @@ class ItemIndex:
         self.size = [len(s) for _, s in items]
         self.prints = np.concatenate([simhash(window_sums(s, Occurrences(s), 0, 1, len(s))) for _, s in items])
         self.radius = radius
-        values, blocks = np.arange(256, dtype=np.uint8), self.prints.shape[1]
-        self.near = np.stack([_POP[values[:, None] ^ self.prints[:, b]] <= radius // blocks for b in range(blocks)])
         self.all = np.unique(np.concatenate([s for _, s in items]))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within the radius."""
-        hit = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(prints.shape[1]):
-            hit |= self.near[b][prints[:, b]]
-        w, i = np.nonzero(hit)
-        ok = _POP[prints[w] ^ self.prints[i]].sum(axis=1, dtype=np.int32) <= self.radius
-        return w[ok], i[ok]
+        found = [np.zeros((0, 2), np.int64)]
+        step = max(1, PAIRS // len(self.ids))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
+            hit = np.zeros((len(part), len(self.ids)), bool)
+            for b in range(LANES):
+                hit |= np.bitwise_count(part[:, b, None] ^ self.prints[:, b]) <= self.radius // LANES
+            w, i = np.nonzero(hit)
+            ok = np.bitwise_count(part[w] ^ self.prints[i]).sum(axis=1, dtype=np.int32) <= self.radius
+            found.append(np.stack((w[ok] + lo, i[ok]), axis=1))
+        return tuple(np.concatenate(found).T)
 
 
 class Matcher:
