@@ -33,16 +33,19 @@ def fingerprint(fields) -> str:
 
 
 #: Layouts: their fields, and the turns as (role, path) in order, or a list with role and text keys.
-#: `base` fields may be missing or present; each such choice has a fingerprint of its own.
+#: Optional fields may be missing or present; each such choice has a fingerprint of its own.  Only layouts
+#: with `roles` rename roles; all others keep them as they are.
 LAYOUTS = [
     {"name": "turn row", "fields": ["turn", "role", "text"], "row": ("role", "text", "turn")},
     {"name": "messages", "fields": ["messages[].role", "messages[].content"], "list": ("messages", "role", "content")},
     {"name": "role-text list", "fields": ["turns[].role", "turns[].text"], "list": ("turns", "role", "text")},
-    {"name": "from-value", "fields": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
+    {"name": "from-value", "fields": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value"), "roles": True},
     {"name": "prompt", "fields": ["prompt", "completion"], "optional": ["system"], "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")]},
     {"name": "question", "fields": ["question", "answer"], "optional": ["system"], "turns": [("system", "system"), ("user", "question"), ("assistant", "answer")]},
     {"name": "instruction", "fields": ["instruction", "output"], "optional": ["system", "input"], "turns": [("system", "system"), ("user", ["instruction", "input"]), ("assistant", "output")]},
 ]
+#: Fingerprints that a task remembers.
+MAX_PRINTS = 1 << 16
 #: Names of roles in other layouts (fixed values).
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
@@ -61,36 +64,53 @@ def _text(v) -> str:
     return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def _role(v) -> str:
+def _role(v, rename: bool = False) -> str:
     r = _text(v)
-    return ROLES.get(r.strip().lower(), r)
+    return ROLES.get(r.strip().lower(), r) if rename else r
 
 
-def record_turns(record, by_print: dict[str, dict]) -> tuple[str, list[tuple[int | None, str, str]] | None]:
-    """(fingerprint, [(turn, role, text)]) of one record; None where no layout has its fields."""
-    fp = fingerprint(paths(record))
-    lay = by_print.get(fp)
+def mapping_of(fields: set[str], by_print: dict[str, dict | None]) -> tuple[str, dict | None]:
+    """(fingerprint, layout) of a record's fields; None where no layout fits.
+
+    A fingerprint that is not in the table is that of a record with further fields: it goes to the layout
+    with the most fields of those whose fields are all there, and is remembered."""
+    fp = fingerprint(fields)
+    if fp not in by_print:
+        fits = [lay for lay in {id(x): x for x in by_print.values() if x}.values() if fields.issuperset(lay["fields"])]
+        if len(by_print) >= MAX_PRINTS:
+            return fp, max(fits, key=lambda lay: len(lay["fields"]), default=None)
+        by_print[fp] = max(fits, key=lambda lay: len(lay["fields"]), default=None)
+    return fp, by_print[fp]
+
+
+def record_turns(record, by_print: dict[str, dict | None]) -> tuple[str, str | None, list[tuple[int | None, str, str]]]:
+    """(fingerprint, layout, [(turn, role, text)]) of one record; layout None where none has its fields."""
+    fp, lay = mapping_of(paths(record), by_print)
     if lay is None:
-        return fp, None
+        return fp, None, []
+    rename = lay.get("roles", False)
     if "row" in lay:
         role, text, turn = lay["row"]
-        return fp, [(record[turn], _role(record[role]), _text(record[text]))]
+        return fp, lay["name"], [(record[turn], _role(record[role], rename), _text(record[text]))]
     if "list" in lay:
         key, role, text = lay["list"]
-        return fp, [(k, _role(m.get(role)), _text(m.get(text))) for k, m in enumerate(record[key])]
+        return fp, lay["name"], [(k, _role(m.get(role), rename), _text(m.get(text))) for k, m in enumerate(record[key])]
     out = []
     for role, src in lay["turns"]:
         got = [_text(record[f]) for f in ([src] if isinstance(src, str) else src) if f in record]
         if got:
             out.append((len(out), role, "\n".join(x for x in got if x) if len(got) > 1 else got[0]))
-    return fp, out
+    return fp, lay["name"], out
 
 
 def to_turns(records: DataFrame, id_col: str = "conv_id", json_col: str = "record", layouts=None) -> DataFrame:
-    """Canonical turns (id_col, turn, role, text, layout) of JSON records of any known layout.
+    """Canonical turns (id_col, turn, role, text, layout, fingerprint) of JSON records of any known layout.
 
-    A record that is null, broken or of an unknown layout gives one row with null turn, role and text
-    and its fingerprint as layout, so nothing is dropped.  Null text: empty."""
+    Fields beyond those of a layout do not matter.  A record that is null, broken or of no known layout
+    gives one row of null turn, role, text and layout with its fingerprint (`null` or `broken`), so nothing
+    is dropped: unread() lists these and format_chats() leaves them out.  Null text or role: empty.
+    Repeated records and ids are records of their own, null ids are kept, texts of any length are whole,
+    an empty table gives no rows, and other columns are ignored."""
     kind = records.schema[id_col].dataType.simpleString()
 
     def convert(batches):
@@ -99,14 +119,19 @@ def to_turns(records: DataFrame, id_col: str = "conv_id", json_col: str = "recor
             out = []
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    fp, turns = record_turns(json.loads(s), by_print) if s is not None else ("null", None)
+                    fp, name, turns = record_turns(json.loads(s), by_print) if s is not None else ("null", None, [])
                 except (ValueError, KeyError, TypeError, AttributeError):
-                    fp, turns = "broken", None
-                out += [(i, t, r, x, by_print[fp]["name"]) for t, r, x in turns] if turns is not None else [(i, None, None, None, fp)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], [id_col, "turn", "role", "text", "layout"])
+                    fp, name, turns = "broken", None, []
+                out += [(i, t, r, x, name, fp) for t, r, x in turns] if name else [(i, None, None, None, None, fp)]
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:])], [id_col, "turn", "role", "text", "layout", "fingerprint"])
+
+    return records.select(id_col, json_col).mapInArrow(convert, f"`{id_col}` {kind}, turn long, role string, text string, layout string, fingerprint string")
+
 
-    return records.select(id_col, json_col).mapInArrow(convert, f"`{id_col}` {kind}, turn long, role string, text string, layout string")
+def unread(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id_col, fingerprint) of the records of to_turns() that no layout fits."""
+    return turns.where("layout is null").select(id_col, "fingerprint")
 
 
 # --------------------------------------------------------------------------- template
@@ -153,10 +178,12 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id_col, part, formatted, loss): the formatted conversations, in parts of whole turns of about
     PART_CHARS, with the loss spans (begin, end) of each part.
 
-    turns: id_col, turn, role, text.  Turns in order of (turn, role, text), nulls first; null role and
+    turns: id_col, turn, role, text; rows with a `layout` that is null are left out (see unread()).  The
+    loss is on texts of the role `assistant`, spelt so.  Turns in order of (turn, role, text), nulls first; null role and
     text are empty; repeated rows are repeated turns; a null id is a conversation of its own.  Rows are
     streamed in order, so one conversation of any length needs the memory of one part."""
     kind = turns.schema[id_col].dataType.simpleString()
+    turns = turns.where("layout is not null") if "layout" in turns.columns else turns
     rows = turns.select(id_col, "turn", "role", "text").repartition(id_col).sortWithinPartitions(id_col, "turn", "role", "text")
 
     def write(batches):
@@ -172,7 +199,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
                 if not begun or i != conv:
                     conv, part, begun = i, 0, True
                 s, lo, hi = render(role or "", text or "")
-                if (role or "").strip().lower() == "assistant":
+                if role == "assistant":
                     spans.append({"begin": chars + lo, "end": chars + hi})
                 held.append(s)
                 chars += len(s)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = r"\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    turns = chat.to_turns(chat.rows_as_records(rows.unionByName(more)))
+    more = json.dumps({"messages": [{"role": r, "content": tricky} for r in ("user", "assistant")]})
+    records = chat.rows_as_records(rows).unionByName(spark.createDataFrame([(-7, more)], "conv_id long, record string"))
+    turns = chat.to_turns(records)
     return chat.read_chats(materialise(chat.format_chats(turns), "chats"))
 
 
