@@ -195,7 +195,8 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int, share
     template, so each line starts a bounded number of them, and each occurrence of a template is in one."""
     most = longest + longest // 2
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("digest")).where("t is not null")
-    scored = texts.select("digest", F.col("t").rlike(SPREAD).alias("cue"), F.explode(F.split("t", "\n")).alias("line")).withColumn("w", words_of(F.col("line")))
+    # the cue is looked for once a text, below the explode
+    scored = texts.withColumn("cue", F.col("t").rlike(SPREAD)).select("digest", "cue", F.explode(F.split("t", "\n")).alias("line")).withColumn("w", words_of(F.col("line")))
     some = materialise(classifier.passed(scored).where("cue or passed").select("digest").distinct(), "license-texts")
     texts = keep_probable(texts, "digest", some, some.count()).join(some, "digest", "left_semi")
     texts = materialise(texts.withColumn("key", F.monotonically_increasing_id()), "license-docs")
