@@ -25,18 +25,17 @@ def word_dictionary(raw: DataFrame, category: str, word: str, only: str | None =
 
 def detect_brands(names: DataFrame, brands: DataFrame, name_col: str = "name", max_len: int | None = None) -> DataFrame:
     """names with detected_brand: the text before 牌 at the start, or else the longest dictionary brand
-    in the name (ties: the first position, then the brand in order), or null.
+    in the name (ties: the first position, then the brand in order), or null.  max_len: longer brands are
+    left out.
 
     Distinct names are cut into substrings no longer than the longest brand and joined on equality, so
     the work grows with the text, not with names times brands."""
-    top = max_len or brands.agg(F.max(F.length("brand"))).first()[0] or 0
-    lens = [r[0] for r in brands.select(F.length("brand").alias("n")).distinct().orderBy("n").limit(max(top, 1)).collect()]
     texts = names.select(F.col(name_col).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    cuts = None
-    for n in lens:
-        some = texts.where(F.length("_t") >= n).select("_t", F.explode(F.sequence(F.lit(1), F.length("_t") - n + 1)).alias("_at")).select("_t", "_at", F.substring("_t", F.col("_at"), F.lit(n)).alias("brand"))
-        cuts = some if cuts is None else cuts.unionByName(some)
-    if cuts is None:
-        return names.withColumn("detected_brand", leading_brand(F.col(name_col)))
+    length = F.length("brand")
+    lens = brands.where(length <= max_len) if max_len else brands
+    # one row a length, and no more lengths than the longest brand has characters
+    lens = lens.select(length.alias("n")).where("n > 0").distinct().agg(F.sort_array(F.collect_list("n")).alias("_lens"))
+    cuts = texts.join(F.broadcast(lens), F.lit(True)).select("_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))).alias("_at"), "_lens")
+    cuts = cuts.select("_t", "_at", F.explode("_lens").alias("_n")).where("_at + _n - 1 <= length(_t)").select("_t", "_at", F.substring("_t", F.col("_at"), F.col("_n")).alias("brand"))
     hits = cuts.join(brands, "brand").groupBy("_t").agg(F.min_by("brand", F.struct(-F.length("brand"), "_at", "brand")).alias("_b"))
     return names.join(hits, names[name_col] == hits["_t"], "left").withColumn("detected_brand", F.coalesce(leading_brand(F.col(name_col)), F.col("_b"))).drop("_t", "_b")

@@ -61,10 +61,13 @@ def name_columns(columns: DataFrame, strong: list[str] = STRONG, loose: list[str
     Null if there is none.  loose=None leaves out the second round."""
     name = F.col("name")
     ok = ~suspicious(name)
-    ways = [F.when(ok & F.contains(name, F.lit(w)), F.struct(F.lit(0).alias("round"), F.lit(k).alias("kw"), F.col("ord").alias("ord"))) for k, w in enumerate(strong)]
     free = ok & ~not_product(name)
-    ways += [F.when(free & ~name.rlike("[编码]") & F.contains(name, F.lit(w)), F.struct(F.lit(1).alias("round"), F.lit(k).alias("kw"), F.col("ord").alias("ord"))) for k, w in enumerate(loose or [])]
-    ways.append(F.when(free & (F.contains(name, F.lit("名称")) | F.contains(F.lower(name), F.lit("name"))), F.struct(F.lit(2).alias("round"), F.lit(0).alias("kw"), F.col("ord").alias("ord"))))
+    first = lambda words: F.array_position(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(name, w)), F.lit(True)).cast("int")
+    way = lambda k, hit, kw: F.when(hit, F.struct(F.lit(k).alias("round"), kw.alias("kw"), F.col("ord").alias("ord")))
+    ways = [way(0, ok & (first(strong) > 0), first(strong))]
+    if loose:
+        ways.append(way(1, free & ~name.rlike("[编码]") & (first(loose) > 0), first(loose)))
+    ways.append(way(2, free & (F.contains(name, F.lit("名称")) | F.contains(F.lower(name), F.lit("name"))), F.lit(0)))
     rank = F.coalesce(*ways)
     return columns.groupBy("sheet").agg(F.min_by("name", F.when(rank.isNotNull(), rank)).alias("_c"), F.min(rank).alias("_r")).select("sheet", F.when(F.col("_r").isNotNull(), F.col("_c")).alias("name_column"))
 
@@ -116,9 +119,20 @@ def rows_as_text(cells: DataFrame, rows: int = 25, width: int = 100) -> DataFram
     return cells.where(F.col("row_idx") < rows).groupBy("sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
+def sheet_items(cells: DataFrame, at: DataFrame) -> DataFrame:
+    """(item_index, raw_name): non-blank cells under the header in a column of each sheet, in sheet and row
+    order, numbered from 0.
+
+    at: (sheet, header, at), the column's place; sheets without one give nothing.  A sheet is numbered in
+    one task (its format bounds it), all sheets by the sums of those before."""
+    rows = cells.join(F.broadcast(at.where("at >= 0")), "sheet").where("row_idx > header").select("sheet", "sheet_ord", "row_idx", F.trim(F.get("cells", F.col("at"))).alias("raw_name")).where("raw_name <> ''")
+    per = rows.groupBy("sheet", "sheet_ord").agg(F.count("*").alias("_n"))
+    per = per.select("sheet", (F.sum("_n").over(Window.orderBy("sheet_ord", "sheet")) - F.col("_n")).alias("_first"))  # a row a sheet
+    inside = F.row_number().over(Window.partitionBy("sheet").orderBy("row_idx")) - 1
+    return rows.withColumn("_k", inside).join(F.broadcast(per), "sheet").select((F.col("_first") + F.col("_k")).alias("item_index"), "raw_name")
+
+
 def union_items(cells: DataFrame, headers: DataFrame, column: str) -> DataFrame:
-    """(item_index, raw_name): non-blank cells of a named column over all sheets that have it, in sheet
-    and row order, numbered from 0."""
-    head = cells.join(headers, "sheet").where("row_idx = header").select("sheet", "header", (F.array_position("cells", F.lit(column)) - 1).cast("int").alias("at")).where("at >= 0")
-    rows = cells.join(F.broadcast(head), "sheet").where("row_idx > header").select("sheet_ord", "row_idx", F.trim(F.get("cells", F.col("at"))).alias("raw_name")).where("raw_name <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("sheet_ord", "row_idx")) - 1).alias("item_index"), "raw_name")
+    """(item_index, raw_name): sheet_items() of a named column over all sheets that have it."""
+    at = cells.join(headers, "sheet").where("row_idx = header").select("sheet", "header", (F.array_position("cells", F.lit(column)) - 1).cast("int").alias("at"))
+    return sheet_items(cells, at)

@@ -16,6 +16,8 @@ from brindle.functions.specs import mutual, recall_bigrams
 
 K1, B = 1.5, 0.75  # fixed values
 MIN_BRAND_HITS = 5
+MOST_ALTERNATIVES = 9
+PAIRS_A_CALL = 30  # that a judge is asked about at once
 
 
 @dataclass
@@ -117,11 +119,11 @@ def match(queries: DataFrame, catalog: DataFrame, top_n: int = 10, recall_size:
     return rerank(union_recall(bm25, bigram, recall_size), asked, catalog, top_n, order_by)
 
 
-def nested(matches: DataFrame, fields: list[str]) -> DataFrame:
-    """(q, top_match, alternatives) of ranked matches, at most the caller's top_n a query."""
+def nested(matches: DataFrame, fields: list[str], most: int = MOST_ALTERNATIVES) -> DataFrame:
+    """(q, top_match, alternatives) of ranked matches, `most` alternatives at most."""
     row = F.struct("rank", *fields)
     per = matches.groupBy("q").agg(F.sort_array(F.collect_list(row)).alias("m"))
-    return per.select("q", F.get("m", F.lit(0)).alias("top_match"), F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))).alias("alternatives"))
+    return per.select("q", F.get("m", F.lit(0)).alias("top_match"), F.slice("m", 2, F.least(F.greatest(F.size("m") - 1, F.lit(0)), F.lit(most))).alias("alternatives"))
 
 
 def write_index(index: Bm25Index, path: str) -> None:
@@ -135,7 +137,7 @@ def read_index(spark: SparkSession, path: str) -> Bm25Index:
 
 def review(results: DataFrame, candidates: DataFrame, judge, low: float = 0.2, high: float = 0.6, top: int = 5, confirmed: float = 0.8) -> DataFrame:
     """Second opinion on matches of confidence in [low, high): judge(list of (query, name)) -> list of
-    True, False or None, called a batch at a time.
+    True, False or None for each (answers that are missing count as None), called for PAIRS_A_CALL at most.
 
     results: q, raw_name, doc_id, confidence (best match).  candidates: q, rank, doc_id, name.  The first
     confirmed candidate replaces the match; if all are refused the match becomes null; without an
@@ -147,7 +149,10 @@ def review(results: DataFrame, candidates: DataFrame, judge, low: float = 0.2, h
 
     def ask(batches):
         for b in batches:
-            said = judge(list(zip(b.column(3).to_pylist(), b.column(4).to_pylist())))
+            asked, said = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist())), []
+            for lo in range(0, len(asked), PAIRS_A_CALL):
+                some = asked[lo : lo + PAIRS_A_CALL]
+                said += [*judge(some), *[None] * len(some)][: len(some)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), b.column(2), pa.array([v if v in (True, False) else None for v in said], pa.bool_())], ["qs", "rank", "doc_id", "ok"])
 
     said = pairs.mapInArrow(ask, "qs string, rank int, doc_id long, ok boolean").groupBy("qs").agg(F.min_by("doc_id", F.when(F.col("ok"), F.col("rank"))).alias("_yes"), F.max(F.when(F.col("ok"), 1).otherwise(0)).alias("_any"), F.bool_and(F.coalesce(~F.col("ok"), F.lit(False))).alias("_no"))

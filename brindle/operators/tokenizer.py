@@ -134,9 +134,10 @@ class Tokenizer:
         return out
 
 
-def tokenize(brands: Iterable[str] = (), spec_words: Iterable[str] = ()) -> Callable[[Column], Column]:
-    """Column function: normalised name -> array of tokens ([] for null)."""
-    tokenizer = Tokenizer(brands, spec_words)
+def tokenize(brands: Iterable[str] = (), spec_words: Iterable[str] = (), fallback: Callable[[str], list[str]] | None = None) -> Callable[[Column], Column]:
+    """Column function: normalised name -> array of tokens ([] for null).  fallback: another segmenter, asked
+    where the cover finds no word or leaves single characters out."""
+    tokenizer = Tokenizer(brands, spec_words, fallback)
 
     @F.pandas_udf("array<string>")
     def run(names: pd.Series) -> pd.Series:
@@ -145,9 +146,8 @@ def tokenize(brands: Iterable[str] = (), spec_words: Iterable[str] = ()) -> Call
     return lambda c: run(F.coalesce(c, F.lit("")))
 
 
-def attributes(detail_words: Iterable[str]) -> Callable[[Column], Column]:
-    """Column function: dictionary words in a raw name, longest first and without overlap, in order of
-    position.  Longest-first over the whole text is not what a regex alternation finds."""
+def attribute_finder(detail_words: Iterable[str]) -> Callable[[str], list[str]]:
+    """name -> dictionary words in it, longest first and without overlap, in order of position."""
     words = sorted({w for w in detail_words if w}, key=lambda w: (-len(w), w))
     Lexicon(words)
 
@@ -162,6 +162,14 @@ def attributes(detail_words: Iterable[str]) -> Callable[[Column], Column]:
                 at = name.find(w, at + 1)
         return [w for _, w in sorted(found)]
 
+    return find
+
+
+def attributes(detail_words: Iterable[str]) -> Callable[[Column], Column]:
+    """Column function: attribute_finder() of a raw name.  Longest-first over the whole text is not what a
+    regex alternation finds."""
+    find = attribute_finder(detail_words)
+
     @F.pandas_udf("array<string>")
     def run(names: pd.Series) -> pd.Series:
         return names.map(find)

@@ -221,7 +221,7 @@ def edit_distance(spark, sf):
 
 @query("WITH " + QUOTES_SQL + f" SELECT code, unit_price, customer, o_orderdate, records_count FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LATEST_SQL}) AS k, count(*) OVER (PARTITION BY code) AS records_count FROM quotes) WHERE k = 1")
 def latest_quote(spark, sf):
-    """J5 W3 A7 R21."""
+    """J5 W3 A7."""
     return latest_quotes(spark, sf)
 
 
@@ -236,7 +236,7 @@ PROC_SQL = "proc AS (SELECT code, price, supplier, l_shipdate, records_count FRO
 
 @query("WITH " + PROC_SQL + " SELECT * FROM proc")
 def latest_procurement(spark, sf):
-    """J6 W4 R22."""
+    """J6 W4."""
     return latest_procurements(spark, sf)
 
 
@@ -245,7 +245,7 @@ def latest_procurement(spark, sf):
 SELECT p_partkey AS code, p_name AS name, q.unit_price, q.customer, proc.price, proc.supplier FROM part LEFT JOIN q ON q.code = p_partkey LEFT JOIN proc ON proc.code = p_partkey"""
 )
 def price_assembly(spark, sf):
-    """J7 S19."""
+    """J7."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_index"), F.col("p_partkey").alias("code"))
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("item_index"), F.col("p_name").alias("name"))
     out = pricing.assemble(p, items, latest_quotes(spark, sf), latest_procurements(spark, sf))
@@ -342,13 +342,13 @@ def normalize_full(spark, sf):
     return p.select("id", text.normalize_name(F.col("name"), F.lit("金龙鱼")).alias("normalized"))
 
 
-@query("SELECT p_partkey AS id, (p_size * 10) || 'g ' || (p_size % 7 + 1) || '袋 散称 箱' AS spec, p_size || 'kg*2袋 箱' AS raw FROM part")
+@query("SELECT p_partkey AS id, (p_size * 10) || 'g ' || (p_size % 7 + 1) || '袋 散称 箱' AS spec, p_size || 'kg 2袋 箱' AS raw FROM part")
 def spec_extract(spark, sf):
     """E3 E5."""
     p = table(spark, sf, "part")
     a = F.concat(P("p_name"), (P("p_size") * 10).cast("string"), F.lit("g "), (P("p_size") % 7 + 1).cast("string"), F.lit("袋 散称/箱"))
     b = F.concat(P("p_brand"), F.lit("牌"), P("p_name"), F.lit(" "), SIZE(), F.lit("kg*2袋/箱"))
-    return p.select(F.col("p_partkey").alias("id"), specs.extract_spec(a).alias("spec"), F.regexp_replace(specs.raw_spec(b, P("p_brand")), "kg 2袋", "kg*2袋").alias("raw"))
+    return p.select(F.col("p_partkey").alias("id"), specs.extract_spec(a).alias("spec"), specs.raw_spec(b, P("p_brand")).alias("raw"))
 
 
 @query("SELECT p_partkey AS id, p_name || '大豆油桶' AS core FROM part")
@@ -387,7 +387,7 @@ DETAIL_WORDS = ["非转基因", "转基因", "一级", "特级"]
 
 @query("SELECT p_partkey AS id, list_concat(list_filter([regexp_extract(p_name, '^[a-z]+'), regexp_extract(p_name, '[a-z]+$')], lambda x: x <> ''), ['味极鲜', '酱油', (p_size * 1000) || 'mL', '瓶', '金糯', '玉米粒']) AS tokens FROM part")
 def tokens_dp(spark, sf):
-    """K1-K7 A12."""
+    """K1-K3 K5 K6."""
     n = named(spark, sf, P("p_name"), " 味极鲜酱油", (P("p_size") * 1000).cast("string"), "mL/瓶 金糯玉米粒")
     return n.select("id", tokenizer.tokenize([], SPEC_WORDS)(F.col("name")).alias("tokens"))
 
@@ -401,7 +401,7 @@ def core_token_filter(spark, sf):
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN ['非转基因', '一级'] ELSE ['转基因', '一级'] END AS attributes FROM part")
 def attribute_words(spark, sf):
-    """E7 S14."""
+    """E7."""
     n = named(spark, sf, P("p_name"), F.when(P("p_size") % 2 == 0, "非转基因").otherwise("转基因"), "一级大豆油", SIZE(), "L")
     return n.select("id", tokenizer.attributes(DETAIL_WORDS)(F.col("name")).alias("attributes"))
 
@@ -415,7 +415,7 @@ def dictionaries(spark, sf) -> records.Dictionaries:
 (p_size * 1000) || 'g 2袋' AS normalized_spec, ['一级'] AS attributes, '["一级"]' AS attributes_json FROM part"""
 )
 def process_records(spark, sf):
-    """K8 K9 UD1 F21 S16."""
+    """K8 K9 F21."""
     n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(P("p_brand"), F.lit("牌"), P("p_name"), F.lit("一级酱油"), SIZE(), F.lit("kg*2袋")).alias("name"))
     out = records.process_records(n, dictionaries(spark, sf))
     return out.select("id", "detected_brand", "normalized_name", "core_name", "normalized_spec", "attributes", "attributes_json")
@@ -460,7 +460,7 @@ def _sheet_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 @query("SELECT DISTINCT p_brand AS sheet, 1 AS header, CASE WHEN string_split(p_brand, '#')[2]::INT % 3 = 0 THEN '品名' ELSE '商品名称' END AS name_column FROM part")
 def column_detect(spark, sf):
-    """S3 S4 S5 P1 P2 P4 P7."""
+    """S4 P1 P4."""
     cells = sheets(spark, sf)
     headers = columns.header_rows(cells)
     return headers.join(columns.name_columns(_sheet_columns(cells, headers)), "sheet").select("sheet", "header", "name_column")
@@ -468,14 +468,14 @@ def column_detect(spark, sf):
 
 @query("SELECT 0 AS ord, '客户名称' AS name UNION ALL SELECT 2, '数量'")
 def common_columns(spark, sf):
-    """U1 U5 P5 S7."""
+    """U1 P5."""
     cells = sheets(spark, sf)
     return columns.common_columns(_sheet_columns(cells, columns.header_rows(cells)), cells.select("sheet", "sheet_ord").distinct())
 
 
 @query("SELECT row_number() OVER (ORDER BY string_split(p_brand, '#')[2]::INT, p_partkey) - 1 AS item_index, p_name AS raw_name FROM part WHERE string_split(p_brand, '#')[2]::INT % 3 > 0 AND p_size % 9 > 0")
 def sheet_union(spark, sf):
-    """U2 W6 S6 S8 S9 P6 FL1 FL3."""
+    """W6 P6 FL1."""
     cells = sheets(spark, sf)
     return columns.union_items(cells, columns.header_rows(cells), "商品名称")
 
@@ -493,13 +493,13 @@ SCORED_PARTS = "s AS (SELECT p_partkey, p_name, p_type, p_brand, CASE WHEN p_siz
 
 @query(f"WITH {SCORED_PARTS} SELECT * FROM s WHERE coalesce(confidence, score) BETWEEN 0 AND 0.6 OR coalesce(confidence, score) IS NULL")
 def score_range_filter(spark, sf):
-    """FL4 FL5."""
+    """FL4."""
     return results.score_range(scored_parts(spark, sf), 0.0, 0.6)
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 15 OFFSET 30")
 def page_slice(spark, sf):
-    """The third page."""
+    """T5: the third page."""
     return results.page(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_partkey"], 3)
 
 
@@ -524,7 +524,7 @@ def picker_filter(spark, sf):
 
 @query("SELECT p_brand, count(*) AS rows, count(CASE WHEN p_size % 4 > 0 THEN 1 END) AS matched FROM part GROUP BY 1")
 def counts_by_sheet(spark, sf):
-    """A8 A10."""
+    """Rows and matched rows of each sheet."""
     return scored_parts(spark, sf).groupBy("p_brand").agg(F.count("*").alias("rows"), F.count_if(F.col("confidence").isNotNull()).alias("matched"))
 
 
@@ -538,7 +538,7 @@ def export_join(spark, sf):
 
 @query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'new ' || p_name ELSE p_name END AS p_name, p_brand FROM part")
 def reselect_alternative(spark, sf):
-    """J13 R20 R23."""
+    """R23."""
     p = table(spark, sf, "part")
     new = p.where("p_size % 10 = 0").select("p_partkey", F.concat(F.lit("new "), "p_name").alias("p_name"))
     return results.reselect(p.select("p_partkey", "p_name", "p_brand"), new, "p_partkey", ["p_name"])
@@ -549,7 +549,7 @@ def reselect_alternative(spark, sf):
 CASE WHEN p_size % 4 = 1 THEN 0.8 WHEN p_size % 4 = 2 THEN 0.0 ELSE 0.4 END AS confidence, p_size % 4 = 1 AS verified FROM part"""
 )
 def second_opinion(spark, sf):
-    """FL5 R17 W5 T7 UD4 UD16 with a judge of fixed answers."""
+    """R17 W5 UD4 with a judge of fixed answers."""
     p = table(spark, sf, "part")
     found = p.select(F.col("p_partkey").alias("q"), F.col("p_name").alias("raw_name"), F.col("p_partkey").alias("doc_id"), F.lit(0.4).alias("confidence"))
     say = F.when(P("p_size") % 4 == 0, "?").when(P("p_size") % 4 == 3, "?")

@@ -43,6 +43,22 @@ def process_records(names: DataFrame, words: Dictionaries, name_col: str = "name
     return rows
 
 
+def read_catalog(raw: DataFrame, lists: list[str], texts: list[str]) -> DataFrame:
+    """A stored catalog with its JSON lists decoded (broken or null: empty) and null texts empty."""
+    decoded = {c: text.json_list(F.col(c)) for c in lists} | {c: F.coalesce(F.col(c), F.lit("")) for c in texts}
+    return raw.withColumns(decoded)
+
+
+def order_line_lists(lists: DataFrame) -> dict:
+    """The categories, countries and traditional arguments of Dictionaries from a table (kind, word, other)
+    of kinds category, country and char; at most MAX_WORDS rows."""
+    rows = lists.limit(tokenizer.MAX_WORDS + 1).collect()
+    if len(rows) > tokenizer.MAX_WORDS:
+        raise ValueError("too many words")
+    of = lambda kind: [r.word for r in rows if r.kind == kind]
+    return {"categories": of("category"), "countries": of("country"), "traditional": {r.word: r.other for r in rows if r.kind == "char"}}
+
+
 def build_catalog(raw: DataFrame, words: Dictionaries, code_col: str, name_col: str) -> DataFrame:
     """Catalog rows of a product master without discontinued products; doc_id is the code's hash."""
     rows = results.drop_discontinued(results.drop_blank(raw, name_col), name_col)
@@ -72,7 +88,8 @@ def preprocess_items(items: DataFrame, words: Dictionaries, name_col: str = "raw
 def match_items(items: DataFrame, catalog: DataFrame, words: Dictionaries, top_n: int = 10, recall_size: int = 500, order_by: str = "confidence") -> DataFrame:
     """Ranked candidates of (item_index, preprocessed_name) items."""
     rows = process_records(items.withColumnRenamed("preprocessed_name", "name"), words)
-    q = rows.select(F.col("item_index").alias("q"), F.when(F.col("core_name") != "", F.col("core_name")).otherwise(F.trim("name")).alias("core_name"), "core_tokens", F.coalesce("detected_brand", F.lit("")).alias("brand"), F.col("normalized_spec").alias("spec"), "attributes")
+    # tokenised once, though recall and re-ranking each read it
+    q = rows.select(F.col("item_index").alias("q"), F.when(F.col("core_name") != "", F.col("core_name")).otherwise(F.trim("name")).alias("core_name"), "core_tokens", F.coalesce("detected_brand", F.lit("")).alias("brand"), F.col("normalized_spec").alias("spec"), "attributes").persist()
     return retrieval.match(q, catalog, top_n, recall_size, order_by)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import brands, columns, pricing, results, retrieval
-from brindle.plans import catalogue, records
+from brindle.plans import catalogue, catalogue_flows, records  # noqa: F401  the second adds its queries
 from brindle.sources import workbooks
 from brindle.streaming import events
 
