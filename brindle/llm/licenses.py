@@ -149,8 +149,8 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = CORPUS_SAMPLE)
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).where(F.length("line") > 20)
     lines = materialise(least_hashes(lines.select("line", F.xxhash64("line").alias("h")), "h", sample, lines.count()).withColumn("w", words_of(F.col("line"))), "license-lines")
     # lines of the sample that hold a notice are no negatives
-    held = F.greatest(*(alike(every_gram(F.col("w")), t["g"]) for t in _grams(spark)))
-    corpus = lines.where((held < CONFIRM / 2) & ~F.col("line").rlike(CUES)).select(F.lit(NONE).alias("label_name"), "w")
+    held = F.greatest(*(alike(F.col("held"), t["g"]) for t in _grams(spark)))
+    corpus = lines.withColumn("held", every_gram(F.col("w"))).where((held < CONFIRM / 2) & ~F.col("line").rlike(CUES)).select(F.lit(NONE).alias("label_name"), "w")
     other = spark.createDataFrame([(NONE, t) for t in NON_LICENCES], "label_name string, t string").coalesce(1).select("label_name", words_of(F.col("t")).alias("w"))
     data = slices.unionByName(corpus).unionByName(other)
     families = sorted({f for f, _ in TEMPLATES})
@@ -184,10 +184,11 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = CORPUS_SAMPLE)
     return Classifier(vocabulary, learner.fit(vectors), classes, threshold, single, word_learner.fit(single.transform(yes_no)), door)
 
 
-def _paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int, share, classifier: Classifier) -> DataFrame:
+def _paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int, wanted: Column, share, classifier: Classifier) -> DataFrame:
     """(key, block, id, a, b, base, passed, w): lines a..b of a document's block.  base marks lines with a
     cue, and pairs of lines that hold one only together; passed marks lines that the word model lets
-    through; the others are runs of lines that hold enough of some template, as share(words) says.
+    through; the others are runs of lines that hold enough of some template: share() of those of their grams
+    that are among `wanted`.
 
     Every line of every text is scored; texts without any that passes and without a cue then leave.
 
@@ -206,16 +207,21 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str, longest: int, share
     lines = lines.withColumn("block", F.sum(F.col("blank").cast("int")).over(doc)).where("not blank").drop("blank")
     run = Window.partitionBy("key", "block").orderBy("a")
     lines = lines.withColumn("next", F.coalesce(F.lead("line").over(run), F.lit(""))).withColumn("cue", F.col("passed") | F.concat_ws(" ", "line", "next").rlike(SPREAD))
-    # lines in reach of a cue; every line of a block has a word
-    lines = lines.withColumn("near", F.max("cue").over(run.rowsBetween(-most - 1, most + 1))).where("near")
-    lines = lines.withColumn("upto", F.sum("n").over(run))
-    lines = lines.withColumn("ahead", F.collect_list(F.struct("a", "line", (F.col("upto") - F.col("n")).alias("before"))).over(run.rowsBetween(0, most + 1)))
+    # lines within `most` words of a line with a cue, forward or back
+    lines = lines.withColumn("upto", F.sum("n").over(run)).withColumn("before", F.col("upto") - F.col("n"))
+    later, earlier = run.rowsBetween(0, Window.unboundedFollowing), run.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("reach", F.coalesce(F.min(F.when(F.col("cue"), F.col("before"))).over(later) < F.col("upto") + most, F.lit(False)))
+    lines = lines.withColumn("behind", F.coalesce(F.max(F.when(F.col("cue"), F.col("upto"))).over(earlier) + most > F.col("before"), F.lit(False)))
+    lines = lines.where("reach or behind")
+    lines = lines.withColumn("ahead", F.collect_list(F.struct("a", "line", "before")).over(run.rowsBetween(0, most + 1))).where("reach")
     lines = lines.withColumn("ahead", F.filter("ahead", lambda x: (x.before < F.col("upto") + most)))
     joined = lambda last: F.array_join(F.transform(F.slice("ahead", 1, last), lambda x: x.line), " ")
     split = F.concat_ws(" ", "line", "next").rlike(SPREAD) & ~F.col("line").rlike(SPREAD) & ~F.col("next").rlike(SPREAD)
     base = F.when(F.col("line").rlike(CUES), 1).when(split, 2).when(F.col("passed"), 1)
-    whole = lines.withColumn("base_size", base).withColumn("w", words_of(joined(F.size("ahead"))))
-    runs = F.when((F.size("ahead") > 1) & (share(F.col("w")) >= CONFIRM), F.sequence(F.lit(1), F.size("ahead"))).otherwise(F.array().cast("array<int>"))
+    whole = lines.withColumn("base_size", base).withColumn("w", F.when(F.size("ahead") > 1, words_of(joined(F.size("ahead")))).otherwise(F.array().cast("array<string>")))
+    # each in a projection of its own, so that the grams are made once a line and not once a template
+    whole = whole.withColumn("held", every_gram(F.col("w"))).withColumn("held", F.array_intersect("held", wanted))
+    runs = F.when(F.when(F.size("held") > 0, share(F.col("held"))).otherwise(0.0) >= CONFIRM, F.sequence(F.lit(1), F.size("ahead"))).otherwise(F.array().cast("array<int>"))
     sizes = F.array_distinct(F.concat(F.filter(F.array("base_size"), lambda x: x.isNotNull()), runs))
     each = whole.withColumn("size", F.explode(sizes)).withColumn("text", joined(F.col("size")))
     each = each.withColumn("cued", F.col("text").rlike(SPREAD)).withColumn("w", words_of(F.col("text")))
@@ -235,8 +241,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classi
     null and repeated ids keep their rows; other columns are ignored."""
     classifier = classifier or train(docs, text_col)
     templates = _grams(docs.sparkSession)
-    rows = _paragraphs(docs, id_col, text_col, max(t["n"] for t in templates), lambda w: F.greatest(*(alike(every_gram(w), t["g"]) for t in templates)), classifier)
-    scored = classifier.probabilities(materialise(rows, "license-lines")).withColumn("_all", every_gram(F.col("w")))
+    wanted = F.array(*map(F.lit, sorted({g for t in templates for g in t["g"]})))
+    rows = _paragraphs(docs, id_col, text_col, max(t["n"] for t in templates), wanted, lambda held: F.greatest(*(alike(held, t["g"]) for t in templates)), classifier)
+    scored = classifier.probabilities(materialise(rows, "license-lines")).withColumn("_all", every_gram(F.col("w"))).withColumn("_all", F.array_intersect("_all", wanted))
     similarity, held = F.lit(0.0), F.lit(0.0)
     for family in {t["family"]: None for t in templates}:
         each = [(alike(F.col("_all"), t["g"]), len(t["g"])) for t in templates if t["family"] == family]
