@@ -223,7 +223,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that find_leaks() would report; all columns kept, one pass, no shuffle."""
+    """docs without the rows that find_leaks() would report; all columns kept, one pass, no shuffle.
+
+    Null and empty texts stay, null and repeated ids are rows like others, each judged by its own whole text;
+    items that are null or wordless remove nothing; an empty table of either kind is no error."""
     at = docs.columns.index(text_col)
     for some in _passes(items, item_col, item_text):
         matcher = docs.sparkSession.sparkContext.broadcast(Matcher(some))

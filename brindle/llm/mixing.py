@@ -111,16 +111,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, all columns kept: a row for each pass over a document, its
-    text cut behind the last word taken.  Rows that agree in id and text are mixed as separate rows;
-    their other columns are those of one of them."""
+    text cut behind the last word taken.
+
+    Rows that agree in id, text and source are mixed as separate rows, whose other columns are those of the
+    one of least hash, so reruns agree.  Null and wordless texts are never taken; null ids and sources are
+    values like others; texts of any length are read whole; an empty table gives none."""
     _, pieces = mix(docs, id_col, text_col, source_col, **options)
     # ranks 0, 1, ... of a source are all taken, so a pass takes a document's words from the first on
     per = pieces.groupBy("source", "offset", "pass", id_col, "digest", "size").agg(F.max("to_word").alias("_n"))
-    per = per.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_list(F.struct("offset", "pass", "_n", "size"))).alias("_takes"))
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
+    per = per.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest"), F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("offset", "pass", "_n", "size"))).alias("_takes"))
     if docs.columns.count("_key"):
         raise ValueError("a column named _key")
-    joined = rows.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest"))).dropDuplicates([id_col, "_key"])
+    keys, other = [id_col, source_col, "_key"], [c for c in docs.columns if c not in (id_col, source_col, text_col)]
+    rows = docs.withColumn("_key", F.xxhash64(text_col)).groupBy(*keys).agg(F.first(text_col).alias(text_col), F.min_by(F.struct(*other, F.lit(0).alias("_none")), F.xxhash64(*other, F.lit(0))).alias("_other"))
+    rows = rows.select(*[F.col("_other").getField(c).alias(c) if c in other else F.col(c) for c in docs.columns], "_key")
+    joined = rows.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")) & F.col(source_col).eqNullSafe(F.col("_source")))
     joined = joined.select(*docs.columns, F.explode("_takes").alias("_take"))
     blank = r"[\x20\x09-\x0D]+"
     body = F.regexp_replace(text_col, "^" + blank, "")

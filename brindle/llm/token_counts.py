@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialise
 from .encoding import encoder, slices
 
 BLOCK_IDS = 1 << 16
@@ -23,7 +24,8 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
     ids), and beside them manifest rows (file, ordinal, names) with the document ids in file order.
 
     Special-token strings in a text are encoded as ordinary text, so end_id occurs only as the
-    separator.  Null text: the separator alone.  Ids are written as 2 bytes where the vocabulary
+    separator.  Null and empty texts: the separator alone.  Null and repeated ids are documents like others;
+    ids are cast to long; an empty table makes files without blocks; other columns are ignored.  Ids are written as 2 bytes where the vocabulary
     allows, little-endian; at most a block and a batch of texts are held."""
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
@@ -69,6 +71,7 @@ def separator_scan(blocks: DataFrame, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file", "number", "seps", "head", "tail", "inner"])
 
     found = blocks.select("file", "number", "width", "ids").mapInArrow(search, "file int, number long, seps long, head long, tail long, inner array<long>")
+    found = materialise(found, "separators")  # a few numbers a block, and one a document; read twice below
     before = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     scan = found.select("*", F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("first"))
     # The document that is open at the start of a block with separators has ordinal `first`; its
@@ -83,7 +86,10 @@ def separator_scan(blocks: DataFrame, end_id: int) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write flat files to `path`, scan them, and name the documents: id_col, n_tokens."""
+    """Write flat files to `path`, scan them, and name the documents: id_col, n_tokens.
+
+    One row per input row, repeated and null ids too; null and empty texts have 0 tokens; an empty table gives
+    no rows; other columns are ignored."""
     write_flat_files(docs, path, tokenizer, end_id, id_col, text_col)
     rows = docs.sparkSession.read.schema("file int, width int, number long, ids binary, names array<long>").parquet(path)
     counts = separator_scan(rows.where("width is not null"), end_id)

@@ -98,6 +98,49 @@ def test_quality_edges(spark):
     assert empty.votes().shape == (2, quality.LABELLERS) and (empty.votes() == 0).all()
 
 
+SYMBOLS = set("#$%&*+/<=>@[\\]^_`{|}~")
+
+
+def brute_votes(text):
+    w = words(text)
+    n, solid = len(w), [c for c in text or "" if c not in " \t\n\v\f\r"]
+    if not n:
+        return [quality.ABSTAIN] * quality.LABELLERS
+    symbols, bangs = sum(c in SYMBOLS for c in solid), solid.count("!")
+    upper, lower = sum("A" <= c <= "Z" for c in solid), sum("a" <= c <= "z" for c in solid)
+    function = sum(x in quality.FUNCTION_WORDS for x in w) / n
+    stops, long = solid.count(".") / n, len(solid) / n
+    fires = [
+        n >= 5 and sum(a == b for a, b in zip(w, w[1:])) / n > 0.15,
+        symbols / len(solid) > 0.06,
+        upper + lower >= 10 and upper > 0.4 * (upper + lower),
+        n >= 5 and w.count("|") / n > 0.15,
+        n >= 5 and bangs / n > 0.2,
+        n >= 30 and len(set(w)) < 0.25 * n**0.5 + 0.02 * n,
+        n >= 5 and (symbols + bangs) / n > 0.5,
+    ]
+    judge = lambda may, reject, keep: quality.ABSTAIN if not may else quality.REJECT if reject else quality.KEEP if keep else quality.ABSTAIN
+    return [judge(True, x, False) for x in fires] + [
+        judge(True, False, not any(fires)), judge(n >= 5, long > 14 or long < 1.6, 2.5 < long < 9), judge(n >= 30, stops < 0.003, 0.02 < stops < 0.4), judge(n >= 30, function < 0.03, function > 0.08),
+    ]
+
+
+def test_votes_and_scores_by_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()] + ["", None, " \n", "a | b | c | d", "STOP!! NOW!! é É", "x " * 4000]
+    some = quality.Texts(pa.array(texts, pa.string()))
+    assert some.votes().tolist() == [brute_votes(t) for t in texts]
+    weights = np.random.default_rng(2).normal(size=quality.DIMS)
+    doc, dim, value = some.features()
+    z = np.full(len(texts), weights[-1])
+    for d, k, v in zip(doc.tolist(), dim.tolist(), value.tolist()):
+        z[d] += weights[k] * v
+    assert np.allclose(some.scores(weights), 1 / (1 + np.exp(-z)))
+    assert all(abs(value[doc == d].sum() - 2 * (n > 0)) < 1e-9 for d, n in enumerate(some.n))
+    rows = docs_frame(spark, list(enumerate(texts)))
+    a, b = ({r.doc_id: r.quality_score for r in quality.classify(x).collect()} for x in (rows, rows.repartition(3)))
+    assert a == b  # the same rows, the same scores
+
+
 def test_vote_model_finds_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.8
@@ -594,6 +637,54 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert [r.doc_id for r in got.where("text is null").collect()] == [5]
 
 
+ODD = [(1, "a word " * 300, "en", "s", 1), (None, None, None, None, None), (None, "", "en", "s", 0), (2, "", "en", None, 0), (2, "other words of a text that is here", "en", None, 0), (3, "one two three four five six " * 20_000, "en", "t", 9), (3, "one two three four five six " * 20_000, "en", "t", 9), (4, " \n", "en", "t", 2)]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_with_odd_rows(spark, stage):
+    import corpus_pipeline
+
+    name, f = corpus_pipeline.STAGES[stage]
+    docs = spark.createDataFrame([(*r, "x") for r in ODD], DOCS + ", quality_keep string")
+    got = f(spark, docs, SF).collect()
+    text = lambda rows: sorted((r[0] or -1, r[1] or "") for r in rows)
+    if stage == 0:
+        assert set(text(got)) <= set(text(ODD))
+    if stage == 1:  # one of the two repeated rows goes
+        want = text(ODD)
+        want.remove((3, ODD[5][1]))
+        assert text(got) == want
+    if stage == 2:
+        assert text(got) == text(ODD)
+    if stage == 3:
+        plain = Counter(t for _, t in text(ODD))
+        assert all(any(t.strip().startswith(r.text.strip()[:20]) for t in plain) and words(r.text) for r in got) and {r.source for r in got} <= {"s", "t", None}
+    if stage == 4:
+        enc = encoding.PieceEncoder(queries.vocabulary(), False).tokenizer
+        ids = [np.array([*enc.encode(t or "", add_special_tokens=False).ids, queries.END_ID], "<u4").tobytes() for _, t, *_ in ODD]
+        assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((o[0] or -1, len(x) // 4, zlib.crc32(x)) for o, x in zip(ODD, ids))
+        starts = sorted((r.start, r.n_tokens) for r in got)
+        assert [s for s, _ in starts] == list(np.cumsum([0, *[n for _, n in starts[:-1]]]))
+    assert f(spark, docs.limit(0), SF).count() == 0
+    if stage < 4:
+        assert tuple(f(spark, docs, SF).columns) == corpus_pipeline.COLUMNS
+
+
+def test_mixture_keeps_sources_apart(spark):
+    rows = [(1, "a b c d", "en", s, 7) for s in ("x", "y", None)] + [(2, "e f", "en", "x", 3), (2, "e f", "de", "x", 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    pick = lambda d: sorted((r.source or "", r.doc_id, r.text, r.lang) for r in mixing.mixed_texts(d, block_words=1).collect())
+    got = pick(docs)
+    assert {s for s, *_ in got} == {"x", "y", ""} and got == pick(docs.repartition(5))
+
+
+def test_token_counts_with_odd_rows(spark, tmp_path):
+    rows = [(None, None, 1), (None, "a b", 1), (5, "a b", 1), (5, "a b", 1), (6, "", 1)]
+    got = token_counts.count_tokens(docs_frame(spark, rows, ", n_tokens int"), str(tmp_path / "a"), queries.vocabulary(), queries.END_OF_TEXT)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got.collect()) == [(-1, 0), (-1, 2), (5, 2), (5, 2), (6, 0)]
+    assert token_counts.count_tokens(docs_frame(spark, []), str(tmp_path / "b"), queries.vocabulary(), queries.END_OF_TEXT).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
