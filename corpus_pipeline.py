@@ -1,6 +1,9 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read as the next one's docs.
 
-Quality classifier, n-gram Jaccard join, benchmark decontamination, mixing and token files."""
+Quality classifier, n-gram Jaccard join, benchmark decontamination, mixing and token files.
+
+Every stage takes null and repeated ids, null, empty and very long texts, further columns (which go, as
+documents have COLUMNS) and empty tables; what it does with each is in its docstring."""
 
 from __future__ import annotations
 
@@ -17,7 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, each row by its whole text; null and wordless texts by the
+    scorer's constant.  Empty table: no rows."""
     return quality.classify(docs).where("quality_keep").select(*COLUMNS)
 
 
@@ -35,18 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark item."""
+    """Documents without any benchmark item; null and empty texts hold none.  Empty table: no rows."""
     return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass of the mix over a document, with the words taken."""
+    """A row for each pass of the mix over a document, with the words taken; wordless ones are never taken,
+    repeated rows are rows of their own, null sources are a source.  Empty table: no rows."""
     mixed = mixing.mixed_texts(docs.select(*COLUMNS))
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in ascending document id, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files in ascending document id (nulls first), read back: doc_id, start, n_tokens, ids_crc32, a row
+    for each input row; null and empty texts are the end id alone.  Empty table: no rows."""
     path = new_path(spark, "tokens")
     token_files.write_token_files(docs, path, vocabulary(), END_ID)
     return token_files.digest(token_files.read_token_files(spark, path))
