@@ -69,6 +69,19 @@ def release(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+#: Rows and bytes that go to a Python worker at once: buffers on both sides grow with them.
+BATCH_ROWS, BATCH_BYTES = 2048, 1 << 23
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send small Arrow batches, so that a worker's memory does not depend on how long the
+    texts are; an even smaller setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def least_hashes(df: DataFrame, key: str, k: int, total: int) -> DataFrame:
     """The k rows of the least hashes `key` (uniform longs) of a table of `total` rows.
 
@@ -86,10 +99,16 @@ MAX_FILTER_BITS = 1 << 25  # 4 MB of bitmap at most, whatever the number of ids
 
 
 def keep_probable(df: DataFrame, key: str, ids: DataFrame, n_ids: int) -> DataFrame:
-    """Rows of df whose key may be among ids (one column, same type): a one-hash bitmap filter.
+    """Rows of df whose key may be among ids: those that mark_probable() marks."""
+    return mark_probable(df, key, ids, n_ids, "_maybe").where("_maybe").select(*df.columns)
+
+
+def mark_probable(df: DataFrame, key: str, ids: DataFrame, n_ids: int, name: str) -> DataFrame:
+    """df with a boolean `name`: whether the key may be among ids (one column, same type), by a one-hash
+    bitmap.
 
     The bitmap has 16 bits an id up to MAX_FILTER_BITS, so it is broadcast under a fixed bound.
-    False positives pass (the caller's join decides); no id of the list is lost."""
+    False positives are marked too (the caller's join decides); no id of the list is missed."""
     bits = 1 << 15
     while bits < min(16 * max(n_ids, 1), MAX_FILTER_BITS):
         bits <<= 1
@@ -105,9 +124,8 @@ def keep_probable(df: DataFrame, key: str, ids: DataFrame, n_ids: int) -> DataFr
     return (
         df.withColumn("_bit", bit(F.col(key)))
         .withColumn("_bucket", (F.col("_bit") / 32768).cast("long"))
-        .join(F.broadcast(maps), "_bucket")
-        .where(byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod("_bit", F.lit(8))).cast("int")) != 0)
-        .select(*df.columns)
+        .join(F.broadcast(maps), "_bucket", "left")
+        .select(*df.columns, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod("_bit", F.lit(8))).cast("int")) != 0, F.lit(False)).alias(name))
     )
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _R, _rng_u64, all_shingles, mix64, row_slices, shingles, string_buffers, word_hashes
+from ._common import _R, _rng_u64, all_shingles, mix64, row_slices, shingles, small_batches, string_buffers, word_hashes
 
 WORDS, RADIUS, LANES = 5, 84, 4
 #: Words of items that one pass over the documents takes along (about 16 MB); more items, more passes.
@@ -185,6 +185,7 @@ class Matcher:
 def _passes(items: DataFrame, id_col: str, text_col: str):
     """Items in lists of at most PASS_WORDS words (or one longer item), so what a pass broadcasts is
     bounded whatever the number of items."""
+    small_batches(items.sparkSession)
     held, size = [], 0
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator():
         n = len(r.t) // 2 + 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, least_hashes, materialise
+from ._common import components, least_hashes, materialise, small_batches
 
 SAMPLE = 20_000  # vectors that fit the quantisers
 MAX_CELLS = 4096
@@ -105,6 +105,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     component).  Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing.  Repeated ids are separate rows that share no link by their id; rows of null id link with
     nothing and are not kept.  Empty table: no rows.  Other columns are ignored."""
+    small_batches(vectors.sparkSession)
     kind = "array<double>"
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("id").isNotNull())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import all_shingles, components, keep_probable, materialise, release, row_slices, string_buffers, word_hashes
+from ._common import all_shingles, components, keep_probable, materialise, release, row_slices, small_batches, string_buffers, word_hashes
 
 #: Shingles put last in the order, at most this many (8 MB).  Affects speed, never the result.
 MAX_FREQUENT = 1 << 20
@@ -212,7 +212,7 @@ def _join_regions(members: DataFrame, probes: DataFrame, sets: DataFrame, num: i
 
 
 def _points(docs: DataFrame, text: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, classes, points): id, n and h of every row; h and rep of every class; h, n, set and
+    """(signatures, classes, points): id, digest (hash of the text), n and h of every row; h and rep of every class; h, n, set and
     prefix of the classes that may have partners."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs, text, words))
@@ -233,9 +233,9 @@ def _points(docs: DataFrame, text: str, words: int, num: int, den: int) -> tuple
                 firsts.append(None if h is None or h in seen else s[: min(m, rare)].view(np.int64))
                 if len(seen) < SEEN:
                     seen.add(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(hs, pa.int64()), pa.array(late, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "n", "h", "late", "firsts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(hs, pa.int64()), pa.array(late, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "digest", "n", "h", "late", "firsts"])
 
-    sig = materialise(docs.select("_id", text).mapInArrow(signatures, "id long, n long, h long, late long, firsts array<long>"), "sig")
+    sig = materialise(docs.select("_id", text, F.xxhash64(text)).mapInArrow(signatures, "id long, digest long, n long, h long, late long, firsts array<long>"), "sig")
     some = sig.where("n > 0 and id is not null")
     # a copy may be the one that a null id hides, so copies send their shingles whatever their id
     sent = sig.where("firsts is not null").groupBy("h").agg(F.count("*").alias("sent"))
@@ -289,12 +289,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Links documents whose sets of word n-grams have den * |intersection| >= num * |union|.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case.  One row per input row: id_col,
-    n_shingles, class_id (equal for equal sets; null without words), component_id.
+    n_shingles, class_id (equal for equal sets; null without words), component_id, component_class (the least
+    class_id reachable, which tells apart components that share their least id), text_hash (xxhash64).
     Fewer words than `words`: the whole sequence is the only shingle.  Null text or none: empty set,
     linked with nothing, component_id = id.  Rows with a null id link with nothing and have a null
     component.  Repeated ids are separate rows, and the component of each follows its own text.
     Very long texts are read whole.  Empty table: no rows.  Other columns of docs are ignored.  Ids are
     cast to long.  An overlap of num/den must be > 1/2.  block and levels affect speed, never the result."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     sig, classes, points = _points(docs, "_t", words, num, den)
     size = points.select("h", "n")
@@ -353,7 +355,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     label = classes.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = label.join(least, "component").select("h", "component_id")
-    out = sig.where("n > 0 and id is not null").join(label, "h").select(F.col("id"), "n", F.col("h").alias("class_id"), "component_id")
-    rest = sig.where("n = 0 or id is null").select("id", "n", F.col("h").alias("class_id"), F.col("id").alias("component_id"))
-    return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+    label = label.join(least, "component").select("h", "component_id", F.col("component").alias("component_class"))
+    out = sig.where("n > 0 and id is not null").join(label, "h").select("id", "n", F.col("h").alias("class_id"), "component_id", "component_class", "digest")
+    rest = sig.where("n = 0 or id is null").select("id", "n", F.col("h").alias("class_id"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component_class"), "digest")
+    return out.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id", "component_class", F.col("digest").alias("text_hash"))

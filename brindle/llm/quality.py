@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _SPACE, materialise, mix64, row_slices, string_buffers, word_hashes
+from ._common import _SPACE, least_hashes, materialise, mix64, row_slices, small_batches, string_buffers, word_hashes
 
 #: Documents that train the scorer, those of the least id hash.
 SAMPLE = 3000
@@ -198,6 +198,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Vote counts over all documents, EM, and the scorer of the sample."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def vote(batches):
@@ -214,7 +215,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     codes, counts = codes[order], counts[order]
     post, table, prior = fit_votes(codes[:, None] // 3 ** np.arange(LABELLERS) % 3, counts) if len(codes) else (np.zeros(0), np.full((2, LABELLERS, 2), 0.5), 0.5)
     key = F.xxhash64("id")
-    last = voted.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    last = least_hashes(voted.select(key.alias("k")), "k", sample, int(counts.sum())).agg(F.max("k")).first()[0]
     if last is None:
         return Model(np.zeros(DIMS), table, prior)
 
@@ -241,6 +242,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     Null and wordless texts score by the scorer's constant alone and are kept only if that is enough.
     Columns of docs named like the two new ones are replaced."""
+    small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
     docs = docs.drop("quality_score", "quality_keep")
     at = docs.columns.index(text_col)
