@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as leaks
 from brindle.llm import mixing, quality, token_files
-from brindle.llm._common import materialise, new_path
+from brindle.llm._common import mark_probable, materialise, new_path
 from brindle.llm.jaccard_join import ngram_jaccard_join
 from brindle.llm.queries import END_ID, vocabulary
 
@@ -26,16 +26,22 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked documents; rows of null id stay.
-
-    Rows of one id are documents of their own: each is kept or removed by its own text, and one of
-    identical rows stays."""
-    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
-    rows = materialise(docs.select(*COLUMNS).withColumn("_row", number), "rows")
-    groups = ngram_jaccard_join(rows.select("_row", "text"), id_col="_row").select("_row", "component_id")
-    least = F.min(F.struct("doc_id", F.xxhash64("text"), "_row"))
-    kept = groups.join(rows.select("_row", "doc_id", "text"), "_row").groupBy("component_id").agg(least.alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").unionByName(rows.where("_row is null")).select(*COLUMNS)
+    """The document of least id of each group of linked documents; rows of null id stay, and so do null and
+    wordless texts.  Empty table: no rows.
+
+    Rows of one id are documents of their own: each is kept or removed by its own text, and one of rows
+    equal in id and text stays.  Only texts that may have to go are joined; the others pass in one scan."""
+    row = ["doc_id", "text_hash"]
+    found = ngram_jaccard_join(docs.select("doc_id", "text")).where("component_class is not null").select(*row, "component_class")
+    found = materialise(found.groupBy(*row, "component_class").agg(F.count("*").alias("rows")), "found")
+    first = found.groupBy("component_class").agg(F.min(F.struct(*row)).alias("first"))
+    gone = F.struct(*row) != F.col("first")
+    marked = materialise(found.join(first, "component_class").where(gone | (F.col("rows") > 1)).select(*row, gone.alias("gone"), F.xxhash64(*row).alias("key")), "marked")
+    every = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).withColumn("key", F.xxhash64(*row))
+    every = mark_probable(every, "key", marked.select("key"), marked.count(), "maybe")
+    some = every.where("maybe").join(marked.drop("key"), row, "left")
+    once = some.where("not gone").dropDuplicates(row)
+    return every.where("not maybe").select(*COLUMNS).unionByName(some.where("gone is null").select(*COLUMNS)).unionByName(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
