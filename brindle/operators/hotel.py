@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import let, squeeze
+from brindle.operators.results import numbered
 
 # --------------------------------------------------------------------------- fixed values
 STORAGE_TYPES = ["干货", "冰鲜", "急冻", "常温"]
@@ -131,8 +132,6 @@ def processing_mode(items: DataFrame, name_col: str = "raw_name", index_col: str
 
 
 def export_order_lines(lines: DataFrame, col: str, order: str, **lists) -> DataFrame:
-    """(seq, original, name) of lines with a result, numbered in order."""
-    from pyspark.sql import Window
-
+    """(seq, original, name) of lines with a result, numbered by an integral column without repeats."""
     rows = lines.where(F.trim(col) != "").select(F.col(order).alias("_o"), F.trim(col).alias("original"), clean_order_line(F.trim(col), **lists).alias("name")).where("name <> ''")
-    return rows.select(F.row_number().over(Window.orderBy("_o")).alias("seq"), "original", "name")
+    return numbered(rows, "_o", "seq").select("seq", "original", "name")

@@ -81,5 +81,21 @@ def by_sheet(results: DataFrame) -> DataFrame:
     return results.groupBy("sheet").agg(F.count("*").alias("rows"))
 
 
+NUMBERED_RUN = 20  # bits of an order that are numbered in one task
+
+
+def numbered(rows: DataFrame, order: str, name: str, start: int = 1) -> DataFrame:
+    """rows with `name`: their place, from `start`, by an integral column without repeats.
+
+    Values that agree but for their last NUMBERED_RUN bits are numbered in one task, such runs by the sums
+    of those before, so only a row a run meets in one place."""
+    run = F.shiftright(F.col(order).cast("long"), NUMBERED_RUN)
+    per = rows.groupBy(run.alias("_run")).agg(F.count("*").alias("_n"))
+    per = per.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy(order))
+    out = rows.withColumn("_run", run).withColumn("_k", inside).join(per, "_run")
+    return out.select(*rows.columns, (F.col("_first") + F.col("_k") + start - 1).alias(name))
+
+
 def ranked(rows: DataFrame, per: list[str], order: list, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*per).orderBy(*order)))

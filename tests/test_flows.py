@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle import __main__ as cli
 from brindle import api
-from brindle.operators import columns, retrieval, tokenizer
+from brindle.operators import columns, results, retrieval, tokenizer
 from brindle.plans import catalogue, catalogue_flows, flows, records
 from brindle.sources import workbooks
 
@@ -90,3 +90,10 @@ def test_fallback_without_an_answer(spark, answer):
 def test_spec_hits():
     t = tokenizer.Tokenizer([], ["酱油", "玉米"])
     assert t.hits(["酱油", "玉米", "阿"]) == 4 + ("阿" in tokenizer.LEGAL_SINGLES)
+
+
+def test_numbers_over_runs(spark):
+    rows = spark.createDataFrame([(k,) for k in (5, 1 << 21, 3, (1 << 33) + 2, 1 << 33, (1 << 21) + 9)], "at long")
+    got = {r.at: r.k for r in results.numbered(rows, "at", "k", 0).collect()}
+    assert got == {v: k for k, v in enumerate(sorted(got))}
+    assert results.numbered(rows.limit(0), "at", "k").count() == 0
