@@ -29,11 +29,15 @@ class Bm25Index:
     corpus: DataFrame
 
 
-def bm25_index(docs: DataFrame, id_col: str = "doc_id", tokens: str = "core_tokens") -> Bm25Index:
-    """Documents without tokens count in n and in the mean length."""
+def bm25_index(docs: DataFrame, id_col: str = "doc_id", tokens: str = "core_tokens", only: DataFrame | None = None) -> Bm25Index:
+    """Documents without tokens count in n and in the mean length.  only: (term), the terms that will be
+    asked for; postings of others are left out, which changes no score."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
     sized = d.withColumn("dl", F.size("t"))
-    postings = sized.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    words = sized.select("doc_id", "dl", F.explode("t").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    postings = words.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = sized.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
     return Bm25Index(postings, terms, corpus)

@@ -128,7 +128,7 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {LA
 SELECT best.q, r.core_name AS name, best.doc_id, round(jaccard, 6) AS jaccard, l.unit_price, l.customer, l.o_orderdate, l.records_count FROM best JOIN r USING (q) LEFT JOIN l ON l.code = best.doc_id"""
 )
 def best_product_latest_price(spark, sf):
-    """The best product of each request and its latest price."""
+    """R3 J2 A5 T1 W1 J5 W3 UD10: the best product of each request and its latest price."""
     r = requests(spark, sf)
     best = retrieval.bigram_scores(r, catalog(spark, sf), 1)
     price = latest_quotes(spark, sf, PREFERRED)
@@ -154,7 +154,7 @@ def bm25_topk(spark, sf):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-zA-ZÀ-ɏ]+"), F.lit(0))
     docs = table(spark, sf, "documents").select("doc_id", words.alias("core_tokens"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), words.alias("core_tokens"))
-    s = retrieval.bm25_scores(q, retrieval.bm25_index(docs))
+    s = retrieval.bm25_scores(q, retrieval.bm25_index(docs, only=q.select(F.explode("core_tokens").alias("term"))))
     return results.ranked(s.withColumn("bm25", F.round("bm25", 6)), ["q"], [F.desc("bm25"), "doc_id"]).where("rank <= 10")
 
 
@@ -387,21 +387,21 @@ DETAIL_WORDS = ["非转基因", "转基因", "一级", "特级"]
 
 @query("SELECT p_partkey AS id, list_concat(list_filter([regexp_extract(p_name, '^[a-z]+'), regexp_extract(p_name, '[a-z]+$')], lambda x: x <> ''), ['味极鲜', '酱油', (p_size * 1000) || 'mL', '瓶', '金糯', '玉米粒']) AS tokens FROM part")
 def tokens_dp(spark, sf):
-    """K1-K3 K5 K6."""
+    """K1-K3 K5 K6 UD2."""
     n = named(spark, sf, P("p_name"), " 味极鲜酱油", (P("p_size") * 1000).cast("string"), "mL/瓶 金糯玉米粒")
     return n.select("id", tokenizer.tokenize([], SPEC_WORDS)(F.col("name")).alias("tokens"))
 
 
 @query("SELECT p_partkey AS id, list_concat(string_split(p_name, ' '), ['酱油', '150', '天']) AS core_tokens FROM part")
 def core_token_filter(spark, sf):
-    """E6."""
+    """E6 W7."""
     tokens = F.concat(F.array(P("p_brand")), F.split("p_name", " "), F.array(F.lit("酱油"), F.concat(SIZE(), F.lit("g")), SIZE(), F.lit("箱"), F.lit("2.5"), F.lit("6袋"), F.lit("散称"), F.lit("150"), F.lit("天")))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), specs.core_tokens(tokens, P("p_brand")).alias("core_tokens"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN ['非转基因', '一级'] ELSE ['转基因', '一级'] END AS attributes FROM part")
 def attribute_words(spark, sf):
-    """E7."""
+    """E7 W8."""
     n = named(spark, sf, P("p_name"), F.when(P("p_size") % 2 == 0, "非转基因").otherwise("转基因"), "一级大豆油", SIZE(), "L")
     return n.select("id", tokenizer.attributes(DETAIL_WORDS)(F.col("name")).alias("attributes"))
 
