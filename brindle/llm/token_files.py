@@ -167,7 +167,8 @@ def read_token_files(spark, path: str) -> DataFrame:
                 )
 
     rows = raw.mapInArrow(decode, "shard int, doc_id long, at long, n_tokens long, ids binary")
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # a row a shard, and a shard a task of the writer
+    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def digest(rows: DataFrame) -> DataFrame:
