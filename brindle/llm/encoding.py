@@ -12,8 +12,8 @@ import os
 
 import numpy as np
 
-#: Parts kept by a worker before it starts anew: about 200 MB.
-CACHE_LIMIT = 1_000_000
+#: Parts kept by a worker (about 40 MB) before those that no later slice asked for go.
+CACHE_LIMIT = 200_000
 #: Parts that go to the library in one text.
 TOGETHER = 2_000
 
@@ -32,6 +32,7 @@ class PieceEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
         self.cache: dict[str, bytes | None] = {}
+        self.again: set[str] = set()  # parts met again since the cache was cut
         if self.by_piece:
             # a part begins with a blank or a line end and holds neither elsewhere, so its first token is
             # the only one that begins with one of them
@@ -77,8 +78,12 @@ class PieceEncoder:
         # a part is `\nword`, or `word` that follows a blank; the first gets a line end in front
         parts = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.cache) > CACHE_LIMIT:
-            self.cache = {}
-        self._learn(list(set().union(*parts).difference(self.cache)))
+            self.cache = {p: self.cache[p] for p in self.again} if 2 * len(self.again) < CACHE_LIMIT else {}
+            self.again = set()
+        distinct = set().union(*parts)
+        new = distinct.difference(self.cache)
+        self.again |= distinct - new
+        self._learn(list(new))
         get, skip, out = self.cache.__getitem__, len(self.line_end), []
         for t, p in zip(texts, parts):
             try:
