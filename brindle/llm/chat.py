@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # --------------------------------------------------------------------------- layouts
 
@@ -129,6 +130,52 @@ def to_turns(records: DataFrame, id_col: str = "conv_id", json_col: str = "recor
     return records.select(id_col, json_col).mapInArrow(convert, f"`{id_col}` {kind}, turn long, role string, text string, layout string, fingerprint string")
 
 
+def schema_paths(kind: DataType, at: str = "") -> set[str]:
+    """paths() of the values of a column type."""
+    if isinstance(kind, StructType):
+        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return schema_paths(kind.elementType, f"{at}[]")
+    return {at}
+
+
+def table_turns(rows: DataFrame, id_col: str = "conv_id", layouts=None) -> DataFrame:
+    """to_turns() of a table whose columns, beside id_col, are the fields of one layout: the fingerprint is
+    that of the schema, and the mapping is made of column expressions.
+
+    Further columns do not matter.  ValueError if no layout fits the schema.  Null roles and texts are empty,
+    optional parts that are null are left out, and a null or empty list gives one unread row."""
+    fp, lay = mapping_of(schema_paths(rows.drop(id_col).schema), mappings(layouts))
+    if lay is None:
+        raise ValueError(f"no layout for the schema {rows.drop(id_col).schema.simpleString()}")
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    names = {"turn": F.lit(None).cast("long"), "role": F.lit(None).cast("string"), "text": F.lit(None).cast("string")}
+    whole = lambda d, turn, role, text: d.select(id_col, turn.cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.lit(lay["name"]).alias("layout"), F.lit(fp).alias("fingerprint"))
+    if "row" in lay:
+        role, text, turn = lay["row"]
+        return whole(rows, F.col(turn), said(F.col(role)), said(F.col(text)))
+    if "list" in lay:
+        key, role, text = lay["list"]
+        each = rows.select(id_col, F.posexplode_outer(key).alias("_at", "_m"))
+        who = said(F.col(f"_m.{role}"))
+        if lay.get("roles"):
+            known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+            who = F.coalesce(known[F.lower(F.trim(who))], who)
+        none = each.where("_at is null").select(id_col, *[v.alias(k) for k, v in names.items()], F.lit(None).cast("string").alias("layout"), F.lit(fp).alias("fingerprint"))
+        return whole(each.where("_at is not null"), F.col("_at"), who, said(F.col(f"_m.{text}"))).unionByName(none)
+    parts = []
+    for role, src in lay["turns"]:
+        there = [f for f in ([src] if isinstance(src, str) else src) if f in rows.columns]
+        if not there:
+            continue
+        must = [f for f in there if f in lay["fields"]]
+        text = F.array_join(F.filter(F.array(*[said(F.col(f)) for f in there]), lambda x: x != ""), "\n")
+        turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
+        parts.append(turn if must else F.when(F.col(there[0]).isNotNull(), turn))
+    each = rows.select(id_col, F.posexplode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_at", "_m"))
+    return whole(each, F.col("_at"), F.col("_m.role"), F.col("_m.text"))
+
+
 def unread(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id_col, fingerprint) of the records of to_turns() that no layout fits."""
     return turns.where("layout is null").select(id_col, "fingerprint")

@@ -70,8 +70,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = r"\### Assistant: </turn> ok"
     more = json.dumps({"messages": [{"role": r, "content": tricky} for r in ("user", "assistant")]})
-    records = chat.rows_as_records(rows).unionByName(spark.createDataFrame([(-7, more)], "conv_id long, record string"))
-    turns = chat.to_turns(records)
+    records = spark.createDataFrame([(-7, more)], "conv_id long, record string")
+    turns = chat.table_turns(rows.withColumn("conv_id", F.col("conv_id").cast("long"))).unionByName(chat.to_turns(records))
     return chat.read_chats(materialise(chat.format_chats(turns), "chats"))
 
 

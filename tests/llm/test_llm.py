@@ -601,6 +601,27 @@ def test_layouts_with_further_fields_and_unknown_ones(spark):
     assert chat.to_turns(spark.createDataFrame([], "conv_id long, record string")).count() == 0
 
 
+def test_tables_of_each_layout_are_their_records(spark):
+    talk = "array<struct<{}:string,{}:string>>"
+    tables = [
+        ("turn long, role string, text string, extra int", [(0, "user", None, 1), (1, None, "x", None)]),
+        ("messages " + talk.format("role", "content"), [([("human", "hi"), ("assistant", None)],)]),
+        ("conversations " + talk.format("from", "value"), [([("human", "hi"), (" GPT", "yo"), ("other", "z")],)]),
+        ("prompt string, completion string", [("p", "c"), ("", "c")]),
+        ("instruction string, input string, output string", [("i", "j", "o"), ("i", "", "o")]),
+        ("system string, question string, answer string", [("s", "q", "a")]),
+    ]
+    for schema, rows in tables:
+        df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "conv_id long, " + schema)
+        records = df.select("conv_id", F.to_json(F.struct(*df.columns[1:]), {"ignoreNullFields": "false"}).alias("record"))
+        row = lambda d: sorted((r.conv_id, r.turn, r.role, r.text, r.layout) for r in d.collect())
+        assert row(chat.table_turns(df)) == row(chat.to_turns(records))
+    empty = spark.createDataFrame([(1, None), (2, [])], "conv_id long, messages " + talk.format("role", "content"))
+    assert sorted(r.conv_id for r in chat.unread(chat.table_turns(empty)).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        chat.table_turns(spark.createDataFrame([(1, "x")], "conv_id long, weird string"))
+
+
 def test_chats(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART_CHARS", 50)
     rows = [(1, 1, "assistant", "b</turn>"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, None, None, "x" * 9000), (None, 0, "system", "é"), (1, 2, "assistant", "")]
