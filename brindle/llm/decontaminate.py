@@ -17,8 +17,6 @@ some 6 deviations above, and chance pairs (128 on average) lie 5 above it."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +25,8 @@ from pyspark.sql import functions as F
 from ._common import _R, _rng_u64, all_shingles, mix64, row_slices, shingles, small_batches, string_buffers, word_hashes
 
 WORDS, RADIUS, LANES = 5, 84, 4
-#: Words of items that one pass over the documents takes along (about 16 MB); more items, more passes.
+#: Words of items that one pass over the documents takes along (about 32 MB: shingles and counts of each
+#: item, and all shingles once more by length and over all); more items, more passes.
 PASS_WORDS = 1 << 20
 _LANE = _rng_u64(21, LANES)
 #: Pairs of windows and items compared at once (16 MB for each block).
@@ -84,12 +83,19 @@ def simhash(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64)
 
 
+def _shared(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> int:
+    """Sum of the lesser counts of the values that two sorted sets (a, n) and (b, m) share."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.where(b[at] == a, np.minimum(n, m[at]), 0).sum())
+
+
 class ItemIndex:
     """Items of one length: shingles, multiplicities, fingerprints and the multi-index."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], radius: int):
         self.ids = [i for i, _ in items]
-        self.sets = [Counter(s.tolist()) for _, s in items]
+        self.sets = [np.unique(s, return_counts=True) for _, s in items]
         self.size = [len(s) for _, s in items]
         self.prints = np.concatenate([simhash(window_sums(s, Occurrences(s), 0, 1, len(s))) for _, s in items])
         self.radius = radius
@@ -172,8 +178,7 @@ class Matcher:
                     part = run[lo : lo + 4096]
                     win, item = index.candidates(simhash(window_sums(sh, at, int(part[0]), len(part), m)))
                     for k, i in zip(win.tolist(), item.tolist()):
-                        here = Counter(sh[part[k] : part[k] + m].tolist())
-                        both = (here & index.sets[i]).total()
+                        both = _shared(*np.unique(sh[part[k] : part[k] + m], return_counts=True), *index.sets[i])
                         most = m + index.size[i] - both
                         if self.den * both >= self.num * most:
                             name = index.ids[i]
