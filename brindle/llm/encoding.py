@@ -12,8 +12,9 @@ import os
 
 import numpy as np
 
-#: Parts kept by a worker (about 40 MB) before those that no later slice asked for go.
-CACHE_LIMIT = 200_000
+#: Parts kept by a worker: so many new ones, and as many of those before them (about 200 bytes each).
+#: Fewer cost time and save memory; they change no result.
+CACHE_LIMIT = 500_000
 #: Parts that go to the library in one text.
 TOGETHER = 2_000
 
@@ -21,7 +22,8 @@ TOGETHER = 2_000
 class PieceEncoder:
     """encode(texts) -> list of bytes, each the ids of a text as little-endian `dtype`."""
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, keep: int = CACHE_LIMIT):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,8 +33,8 @@ class PieceEncoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
-        self.cache: dict[str, bytes | None] = {}
-        self.again: set[str] = set()  # parts met again since the cache was cut
+        self.cache: dict[str, bytes | bool] = {}
+        self.before: dict[str, bytes | bool] = {}  # the cache that was full last
         if self.by_piece:
             # a part begins with a blank or a line end and holds neither elsewhere, so its first token is
             # the only one that begins with one of them
@@ -51,13 +53,13 @@ class PieceEncoder:
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        """Put parts into the cache; None marks those with white space at an end, where a text must not
+        """Put parts into the cache; False marks those with white space at an end, where a text must not
         be cut."""
         sound = []
         for p in parts:
             body = p[1:] if p[:1] == "\n" else p
             if not body or body[0].isspace() or body[-1].isspace():
-                self.cache[p] = None
+                self.cache[p] = False
             else:
                 sound.append(p)
         for lo in range(0, len(sound), 10 * TOGETHER):
@@ -77,30 +79,32 @@ class PieceEncoder:
             return self._library(texts)
         # a part is `\nword`, or `word` that follows a blank; the first gets a line end in front
         parts = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache = {p: self.cache[p] for p in self.again} if 2 * len(self.again) < CACHE_LIMIT else {}
-            self.again = set()
-        distinct = set().union(*parts)
-        new = distinct.difference(self.cache)
-        self.again |= distinct - new
-        self._learn(list(new))
-        get, skip, out = self.cache.__getitem__, len(self.line_end), []
-        for t, p in zip(texts, parts):
-            try:
-                out.append(b"".join(map(get, p))[skip:])
-            except TypeError:  # not to be cut
-                out.append(self._library([t])[0] if t else b"")
+        if len(self.cache) > self.keep:
+            self.before, self.cache = self.cache, {}
+        get = self.cache.get
+        found = [list(map(get, p)) for p in parts]
+        lacks = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {p[k] for p, miss in zip(parts, lacks) for k in miss}
+        kept = {p: x for p in new if (x := self.before.get(p)) is not None} if self.before else {}
+        self.cache.update(kept)
+        self._learn(list(new.difference(kept)))
+        skip, out = len(self.line_end), []
+        for t, p, f, miss in zip(texts, parts, found, lacks):
+            for k in miss:
+                f[k] = get(p[k])
+            out.append((self._library([t])[0] if t else b"") if False in f else b"".join(f)[skip:])
         return out
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
-    """One encoder a worker process."""
-    key = (path, special_as_text)
+def encoder(path: str, special_as_text: bool = False, keep: int = CACHE_LIMIT) -> PieceEncoder:
+    """One encoder a worker process: that asked for last."""
+    key = (path, special_as_text, keep)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, special_as_text)
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(path, special_as_text, keep)
     return _ENCODERS[key]
 
 

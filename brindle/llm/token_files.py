@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder, slices
+from .encoding import CACHE_LIMIT, encoder, slices
 
 #: Ids a word and bits an id, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -119,17 +119,18 @@ def unpack(words: np.ndarray, word_at: np.ndarray, escapes: np.ndarray, escape_a
     return out
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: int = CACHE_LIMIT) -> None:
     """Encode whole texts, append end_id to each, and write them to `path` in ascending id order.
 
     Null text: only the end id.  Null ids come first, repeated ids in order of their text (null
-    first).  An empty table writes an empty file.  Memory is bounded by a chunk or the longest text."""
+    first).  An empty table writes an empty file.  Memory is bounded by a chunk or the longest text, and
+    by the encoder's `keep` parts."""
     if docs.schema[id_col].dataType.simpleString() != "bigint":
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def encode(batches):
-        enc, shard, chunk, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, shard, chunk, first = encoder(tokenizer, keep=keep), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
