@@ -16,6 +16,8 @@ from brindle.llm._common import mark_probable, materialise, new_path
 from brindle.llm.jaccard_join import ngram_jaccard_join
 from brindle.llm.queries import END_ID, vocabulary
 
+#: Parts an encoder keeps; its worker serves the other stages too, so fewer than by default.
+KEEP_PARTS = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -60,7 +62,7 @@ def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files in ascending document id (nulls first), read back: doc_id, start, n_tokens, ids_crc32, a row
     for each input row; null and empty texts are the end id alone.  Empty table: no rows."""
     path = new_path(spark, "tokens")
-    token_files.write_token_files(docs, path, vocabulary(), END_ID)
+    token_files.write_token_files(docs, path, vocabulary(), END_ID, keep=KEEP_PARTS)
     return token_files.digest(token_files.read_token_files(spark, path))
 
 
