@@ -70,7 +70,7 @@ def release(*tables: DataFrame) -> None:
 
 
 #: Rows and bytes that go to a Python worker at once: buffers on both sides grow with them.
-BATCH_ROWS, BATCH_BYTES = 2048, 1 << 23
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 22
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ LOCAL_REPEATS = 2
 FREQUENT = 16
 COUNT_BYTES = 1 << 23
 #: Classes that a task remembers to send the shingles of copies once.
-SEEN = 1 << 18
+SEEN = 1 << 16
 #: Points sent along with one copy of a pivot.
 SALT_ROWS = 64
 #: Shingles of the points that a task holds or compares at once, and levels of the recursion.
