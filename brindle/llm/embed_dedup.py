@@ -9,8 +9,10 @@ coarse quantiser deals them into inverted lists; residuals get one code byte for
 * Asymmetric distances: the table of distances from x to all subspace codes gives |x - q(y)| by
   lookups; with e = |y - q(y)| stored beside the code, |x - q(y)| > r + e rules y out.
 * Exact rerank: the cosine of what is left, in double precision.
-No step loses a link, whatever the data.  The index is fitted on a bounded sample and holds every
-vector.  Equal vectors are one entry with a count.  Lists are cut into blocks and queries into runs, so a list of
+No step loses a link, whatever the data.  A query's row and its table cost as much as some hundred
+distances each, so there are as many cells as a cell has vectors, and a subspace has a code for every
+four of these: a table is never larger than what is read from it.  The index is fitted on a bounded sample
+and holds every vector.  Equal vectors are one entry with a count.  Lists are cut into blocks and queries into runs, so a list of
 any size spreads over many tasks; a task sends the links of a run as a spanning set of edges."""
 
 from __future__ import annotations
@@ -24,11 +26,17 @@ from ._common import components, least_hashes, materialise, small_batches
 
 SAMPLE = 20_000  # vectors that fit the quantisers
 MAX_CELLS = 4096
-SUBSPACES, CODES = 16, 256
+SUBSPACES, LEAST_CODES, CODES = 16, 16, 256
 BLOCK, RUN, PROBED = 2048, 8192, 1024
 SLACK = 1e-6
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """Cells, and codes of a subspace, for so many vectors."""
+    cells = min(MAX_CELLS, max(1, int(total**0.5)))
+    return cells, min(CODES, max(LEAST_CODES, total // cells // 4))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -135,7 +143,8 @@ def _links(classes: DataFrame, dim: int, threshold: float, sample: int) -> tuple
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     total = classes.count()
     picked = least_hashes(classes, "h", sample, total).select("v").toArrow().column(0).combine_chunks()
-    index = spark.sparkContext.broadcast(Index(_unit(picked.flatten().to_numpy().reshape(-1, dim)), min(MAX_CELLS, max(1, int(4 * total**0.5)))))
+    cells, size = sizes(total)
+    index = spark.sparkContext.broadcast(Index(_unit(picked.flatten().to_numpy().reshape(-1, dim)), cells, codes=size))
 
     def encode(batches):
         for b in batches:

@@ -341,6 +341,31 @@ def test_embeddings_of_low_intrinsic_dimension(spark):
     assert {k: c for k, (_, c) in got.items()} == groups([(a, b) for a, b in zip(*np.nonzero(links)) if a < b], list(want))
 
 
+def test_tables_are_no_longer_than_lists():
+    """On vectors without structure a subspace's table has no more entries than it gives distances, and no link is lost."""
+    for total in (1, 300, 10_000, 50_000, 1_000_000, 10_000_000):
+        cells, codes = embed_dedup.sizes(total)
+        assert cells <= embed_dedup.MAX_CELLS and embed_dedup.LEAST_CODES <= codes <= embed_dedup.CODES
+        assert codes <= max(embed_dedup.LEAST_CODES, total / cells / 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 32))
+    x[2000:2200] = x[:200] + rng.normal(size=(200, 32)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells, codes = embed_dedup.sizes(len(x))
+    index, r = embed_dedup.Index(x, cells, codes=codes), 0.1**0.5
+    cell, code, err = index.encode(x)
+    radii = np.array([np.sqrt(((x[cell == c] - index.centroids[c]) ** 2).sum(axis=1)).max(initial=-np.inf) for c in range(cells)])
+    hit, seen = index.probes(x, cell, radii, r), set()
+    entries = given = 0
+    for c in range(cells):
+        q, held = np.flatnonzero(hit[:, c]), np.flatnonzero(cell == c)
+        entries, given = entries + len(q) * codes, given + len(q) * len(held)
+        i, j = np.nonzero(index.distances2(x[q], c, code[held]) <= (r + err[held] + 1e-6) ** 2 + 1e-6)
+        seen |= {(int(min(a, b)), int(max(a, b))) for a, b in zip(q[i], held[j]) if a != b}
+    assert entries <= given
+    assert {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.95)) if a < b} <= seen
+
+
 # --------------------------------------------------------------------------- 5 Jaccard join
 
 
