@@ -3,12 +3,19 @@
 A byte-level BPE without normaliser encodes the pieces of its pre-tokenizer one by one.  A blank or
 line end between two characters that are not white space always starts a piece, so a text cut there
 encodes to the concatenation of its parts.  Each distinct part is encoded by the library once a
-worker; texts with other runs of white space go to the library whole."""
+worker; texts with other runs of white space go to the library whole.
+
+Most parts are a word, or a word and punctuation: pieces by themselves, as the pre-tokenizer's pattern
+takes all letters in a row and then all that is neither letter, digit nor white space.  So the library's
+model gets a word once, whatever follows it."""
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import os
+import re
 
 import numpy as np
 
@@ -18,6 +25,15 @@ CACHE_LIMIT = 500_000
 #: Parts that go to the library in one text.
 TOGETHER = 2_000
 
+# Letters are those before U+0250, on which versions of Unicode agree; an apostrophe may begin a piece of letters.
+_LETTER, _PUNCTUATION = "[A-Za-zªµºÀ-ÖØ-öø-ɏ]", r"[!-&(-/:-@\[-`{-~]"
+_WORD = re.compile(f"(\n?{_LETTER}+)({_PUNCTUATION}*)")
+_INSIDE = re.compile(f"[ \n]?{_LETTER}*{_PUNCTUATION}*")
+# fixed values: the character that stands for each byte in a byte-level vocabulary
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = iter(range(256, 512))
+BYTES = "".join(chr(b if b in _PRINTED else next(_OTHERS)) for b in range(256))
+
 
 class PieceEncoder:
     """encode(texts) -> list of bytes, each the ids of a text as little-endian `dtype`."""
@@ -42,6 +58,9 @@ class PieceEncoder:
             self.begins = np.zeros(max(names.values()) + 1, bool)
             self.begins[[i for t, i in names.items() if t[0] in "\u0120\u010a"]] = True
             self.line_end = self._library(["\n"])[0]
+            self.model, self.tails = self.tokenizer.model, {}
+            # the model knows no added tokens, so none may lie in a word and its punctuation
+            self.by_word = not any(_INSIDE.fullmatch(t["content"]) for t in spec.get("added_tokens") or [])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,13 +74,31 @@ class PieceEncoder:
     def _learn(self, parts: list[str]) -> None:
         """Put parts into the cache; False marks those with white space at an end, where a text must not
         be cut."""
-        sound = []
+        sound, words, ended = [], [], []
         for p in parts:
+            if self.by_word and (m := _WORD.fullmatch(p)):
+                word, tail = m.groups()
+                if tail:
+                    ended.append((p, word, tail))
+                else:
+                    words.append(p)
+                continue
             body = p[1:] if p[:1] == "\n" else p
             if not body or body[0].isspace() or body[-1].isspace():
                 self.cache[p] = False
             else:
                 sound.append(p)
+        others = {word for _, word, _ in ended}.difference(words)
+        others = [w for w in others if w not in self.cache]
+        kept = {w: x for w in others if (x := self.before.get(w)) is not None} if self.before else {}
+        self.cache.update(kept)
+        self._words(words + [w for w in others if w not in kept])
+        if len(self.tails) > TOGETHER:
+            self.tails = {}
+        for p, word, tail in ended:
+            if tail not in self.tails:
+                self.tails[tail] = self._library([tail])[0]
+            self.cache[p] = self.cache[word] + self.tails[tail]
         for lo in range(0, len(sound), 10 * TOGETHER):
             groups = [sound[k : k + TOGETHER] for k in range(lo, min(lo + 10 * TOGETHER, len(sound)), TOGETHER)]
             full = [[p if p[0] == "\n" else " " + p for p in g] for g in groups]
@@ -74,6 +111,19 @@ class PieceEncoder:
                 flat, w = ids.tobytes(), self.dtype.itemsize
                 self.cache.update((p, flat[w * x : w * y]) for p, x, y in zip(g, at, [*at[1:], len(ids)]))
 
+    def _words(self, words: list[str]) -> None:
+        """Put parts of letters alone into the cache, by the model itself."""
+        tokenize, size = self.model.tokenize, self.dtype.itemsize
+        for lo in range(0, len(words), 10 * TOGETHER):
+            some = words[lo : lo + 10 * TOGETHER]
+            plain = "\n".join([w[1:] if w[0] == "\n" else " " + w for w in some])
+            ids = [[t.id for t in tokenize(w)] for w in codecs.charmap_decode(plain.encode(), "strict", BYTES)[0].split(BYTES[10])]
+            flat, at = np.fromiter(itertools.chain.from_iterable(ids), self.dtype).tobytes(), 0
+            for w, x in zip(some, ids):
+                end = at + size * len(x)
+                self.cache[w] = self.line_end + flat[at:end] if w[0] == "\n" else flat[at:end]
+                at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
@@ -83,7 +133,7 @@ class PieceEncoder:
             self.before, self.cache = self.cache, {}
         get = self.cache.get
         found = [list(map(get, p)) for p in parts]
-        lacks = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        lacks = [_places(f, None) for f in found]
         new = {p[k] for p, miss in zip(parts, lacks) for k in miss}
         kept = {p: x for p in new if (x := self.before.get(p)) is not None} if self.before else {}
         self.cache.update(kept)
@@ -96,6 +146,17 @@ class PieceEncoder:
         return out
 
 
+def _places(items: list, x) -> list[int]:
+    """Where x is in a list that holds few of it."""
+    out, k = [], -1
+    try:
+        while True:
+            k = items.index(x, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 

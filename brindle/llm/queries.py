@@ -49,7 +49,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary(), END_ID)
-    return token_files.digest(token_files.read_token_files(spark, path))
+    return token_files.read_token_files(spark, path, digests=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

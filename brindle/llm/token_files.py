@@ -51,18 +51,20 @@ def pack(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS) ->
     need = np.zeros(blocks * block, np.uint8)
     need[:n] = _bits_table(escape_bits)[v]
     wide[:, :block] = need.reshape(blocks, block)
-    tops = {1: wide}  # tops[c][:, i]: most bits among c ids from i on
-    for c in sorted(set(COUNTS.tolist()) - {1}):
-        half = max(k for k in tops if k < c and 2 * k >= c) if any(k < c <= 2 * k for k in tops) else None
-        while half is None:
-            k = max(tops)
-            tops[2 * k] = np.maximum(tops[k][:, : tops[k].shape[1] - k], tops[k][:, k:])
-            half = next((k for k in tops if k < c <= 2 * k), None)
-        m = tops[half]
-        tops[c] = np.maximum(m[:, : m.shape[1] - (c - half)], m[:, c - half :])
-    choice = np.empty((blocks, block), np.uint8)
-    for s in range(len(COUNTS) - 1, -1, -1):  # the last that fits packs most
-        np.copyto(choice, np.uint8(s), where=tops[int(COUNTS[s])][:, :block] <= np.uint8(BITS[s]))
+    choice = np.full((blocks, block), len(COUNTS) - 1, np.uint8)
+    rows, tops, c = np.arange(blocks), wide, 1  # tops[:, i]: most bits among c ids from i on
+    for s in range(len(COUNTS) - 2, -1, -1):  # the last that fits packs most
+        more = int(COUNTS[s]) - c
+        tops, c = np.maximum(tops[:, :-more], tops[:, more:]), c + more
+        fits = tops[:, :block] <= np.uint8(BITS[s])
+        some = fits.any(axis=1)
+        if not some.all():  # blocks that fit none of this count fit no larger one
+            rows, tops, fits = rows[some], tops[some], fits[some]
+        if not len(rows):
+            break
+        held = choice[rows]
+        held[fits] = s
+        choice[rows] = held
     choice = choice.reshape(-1)
     take = COUNTS[choice]
     pos, stop = np.arange(blocks) * block, np.minimum(np.arange(1, blocks + 1) * block, n)
@@ -146,11 +148,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows.mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """One row per document of a token file: doc_id, start, n_tokens, ids (little-endian uint32).
+def read_token_files(spark, path: str, digests: bool = False) -> DataFrame:
+    """One row per document of a token file: doc_id, start, n_tokens, ids (little-endian uint32), or with
+    digests ids_crc32 of these, taken where a chunk is decoded, so that the ids stay there.
 
     start counts the ids of all documents before; shards are prefix-summed, chunks hold their own
     place.  Chunks are decoded independently."""
+    name, kind, of = ("ids_crc32", pa.int64(), zlib.crc32) if digests else ("ids", pa.binary(), bytes)
     raw = spark.read.schema(SCHEMA).parquet(path)
     total = raw.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     base = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
@@ -161,15 +165,15 @@ def read_token_files(spark, path: str) -> DataFrame:
                 ids = unpack(np.frombuffer(r["words"], "<u8"), np.array(r["word_at"]), np.frombuffer(r["escapes"], "<u4"), np.array(r["escape_at"]), r["n_ids"])
                 lens = np.array(r["doc_lens"], np.int64)
                 stop = np.cumsum(lens)
-                data = ids.tobytes()
+                data = memoryview(ids.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * len(lens), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["first"] + stop - lens), pa.array(lens), pa.array([data[4 * (e - n) : 4 * e] for e, n in zip(stop.tolist(), lens.tolist())], pa.binary())],
-                    ["shard", "doc_id", "at", "n_tokens", "ids"],
+                    [pa.array([r["shard"]] * len(lens), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["first"] + stop - lens), pa.array(lens), pa.array([of(data[4 * (e - n) : 4 * e]) for e, n in zip(stop.tolist(), lens.tolist())], kind)],
+                    ["shard", "doc_id", "at", "n_tokens", name],
                 )
 
-    rows = raw.mapInArrow(decode, "shard int, doc_id long, at long, n_tokens long, ids binary")
+    rows = raw.mapInArrow(decode, f"shard int, doc_id long, at long, n_tokens long, {name} {'long' if digests else 'binary'}")
     # a row a shard, and a shard a task of the writer
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", name)
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     for each input row; null and empty texts are the end id alone.  Empty table: no rows."""
     path = new_path(spark, "tokens")
     token_files.write_token_files(docs, path, vocabulary(), END_ID, keep=KEEP_PARTS)
-    return token_files.digest(token_files.read_token_files(spark, path))
+    return token_files.read_token_files(spark, path, digests=True)
 
 
 STAGES = [

@@ -458,6 +458,44 @@ def test_encoder_is_the_library():
         assert e.encode(TEXTS) == want and e.encode(TEXTS) == want
 
 
+def test_a_word_is_encoded_once_whatever_follows():
+    e, given = encoding.PieceEncoder(queries.vocabulary()), []
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+        def tokenize(self, word):
+            given.append(word)
+            return self.inner.tokenize(word)
+
+    words = [a + b + c for a in "BcdfG" for b in ("aeu", "ié", "oß") for c in "lmnrst"]
+    text = " ".join(w + tail for tail in ("", ".", ",", "...", "!?", ".%%%") for w in words)
+    want = np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, e.dtype).tobytes()
+    e.tokenizer, e.model = Spy(e.tokenizer), Spy(e.tokenizer.model)
+    assert e.encode([text]) == [want]
+    assert sum(map(len, given)) <= 2 * sum(len(w) + 1 for w in words)
+
+
+def test_words_and_their_ends(tmp_path):
+    """Random texts, and a vocabulary with an added token that may lie in a word."""
+    rng = np.random.default_rng(4)
+    some = ["a", "Zab", "é", "ª", "×", "ɐ", "ǅ", "中", "²", "_", "'", "'s", "’", ".", ",", "<|", "<|endoftext|>", "\n", "\t", "1", "e\u0301", *" " * 8]
+    texts = ["".join(rng.choice(some, int(rng.integers(1, 40)))) for _ in range(4000)]
+    added = encoding.PieceEncoder(queries.vocabulary()).tokenizer
+    added.add_tokens(["ab"])
+    added.save(str(tmp_path / "added.json"))
+    for path, by_word in ((queries.vocabulary(), True), (str(tmp_path / "added.json"), False)):
+        e = encoding.PieceEncoder(path, keep=300)
+        assert e.by_word == by_word
+        want = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x for lo in range(0, len(texts), 100) for x in e.encode(texts[lo : lo + 100])] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 1023, 1024, 1025, 9000])
 def test_pack_round_trip(n):
     rng = np.random.default_rng(n)
@@ -483,6 +521,8 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
     crc = {r.start: r.ids_crc32 for r in token_files.digest(token_files.read_token_files(spark, f"file://{tmp_path}/t")).collect()}
     assert all(crc[r.start] == zlib.crc32(r.ids) for r in got)
+    short = token_files.read_token_files(spark, f"file://{tmp_path}/t", digests=True)
+    assert short.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and {r.start: r.ids_crc32 for r in short.collect()} == crc
     token_files.write_token_files(df.limit(0), f"file://{tmp_path}/e", queries.vocabulary(), 2)
     assert token_files.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
 
