@@ -62,30 +62,38 @@ def pack(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS) ->
             rows, tops, fits = rows[some], tops[some], fits[some]
         if not len(rows):
             break
-        held = choice[rows]
-        held[fits] = s
-        choice[rows] = held
+        if len(rows) == blocks:
+            np.copyto(choice, np.uint8(s), where=fits)
+        else:
+            held = choice[rows]
+            np.copyto(held, np.uint8(s), where=fits)
+            choice[rows] = held
     choice = choice.reshape(-1)
-    take = COUNTS[choice]
+    take = np.append(COUNTS[choice], 0)
     pos, stop = np.arange(blocks) * block, np.minimum(np.arange(1, blocks + 1) * block, n)
-    starts = []
-    while len(pos):  # all blocks step from word to word together
+    starts = [pos]
+    while True:  # all blocks step from word to word together; those that have ended wait
+        pos = np.minimum(pos + take[pos], stop)
         starts.append(pos)
-        pos = pos + take[pos]
-        live = pos < stop
-        pos, stop = pos[live], stop[live]
-    start = np.sort(np.concatenate(starts))
+        if len(starts) % 16 == 0 and (pos == stop).all():
+            break
+    starts = np.stack(starts, axis=1)
+    start = starts[starts < stop[:, None]]
     sel = choice[start]
     words = sel.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate((v, np.zeros(COUNTS[0], np.uint32))).astype(np.uint64)
-    limit = np.minimum((start // block + 1) * block, n)
+    padded = np.zeros((blocks, block + int(COUNTS[0])), np.uint64)  # zeros behind each block
+    whole = n // block
+    padded[:whole, :block] = v[: whole * block].reshape(whole, block)
+    padded[whole:, : n - whole * block] = v[whole * block :]
+    padded, place = padded.reshape(-1), start + start // block * int(COUNTS[0])
     for s in np.unique(sel):
         if BITS[s] == 0:
             continue
         rows = np.flatnonzero(sel == s)
-        where = start[rows, None] + np.arange(COUNTS[s])
-        part = np.where(where < limit[rows, None], padded[where], np.uint64(0))
-        words[rows] |= np.bitwise_or.reduce(part << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64), axis=1)
+        at, word = place[rows], words[rows]
+        for k in range(COUNTS[s]):
+            word |= padded[at + k] << np.uint64(k * BITS[s])
+        words[rows] = word
     word_at = np.searchsorted(start, np.minimum(np.arange(blocks + 1) * block, n))
     return words.astype("<u8"), word_at, escapes, escape_at
 
