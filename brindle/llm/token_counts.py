@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
-from .encoding import encoder, slices
+from .encoding import encoder, lots
 
 BLOCK_IDS = 1 << 16
 
@@ -26,7 +26,7 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
     Special-token strings in a text are encoded as ordinary text, so end_id occurs only as the
     separator.  Null and empty texts: the separator alone.  Null and repeated ids are documents like others;
     ids are cast to long; an empty table makes files without blocks; other columns are ignored.  Ids are written as 2 bytes where the vocabulary
-    allows, little-endian; at most a block and a batch of texts are held."""
+    allows, little-endian; at most a block and a lot of texts are held."""
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def write(batches):
@@ -37,15 +37,13 @@ def write_flat_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
         def rows(kind, number, ids, names):
             return pa.RecordBatch.from_arrays([pa.array([file] * len(number), pa.int32()), pa.array([kind] * len(number), pa.int32()), pa.array(number, pa.int64()), pa.array(ids, pa.binary()), pa.array(names, pa.list_(pa.int64()))], ["file", "width", "number", "ids", "names"])
 
-        for b in batches:
-            names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices([len(t) // 3 + 1 for t in texts], 4 * block_ids):
-                held += b"".join(x + end for x in enc.encode(texts[lo:hi]))
-                full = len(held) // size
-                yield rows(enc.dtype.itemsize, list(range(block, block + full)), [held[k * size : (k + 1) * size] for k in range(full)], [None] * full)
-                held, block = held[full * size :], block + full
-                yield rows(None, [ordinal], [None], [names[lo:hi]])
-                ordinal += hi - lo
+        for names, texts in lots(batches):
+            held += b"".join(x + end for x in enc.encode(texts))
+            full = len(held) // size
+            yield rows(enc.dtype.itemsize, list(range(block, block + full)), [held[k * size : (k + 1) * size] for k in range(full)], [None] * full)
+            held, block = held[full * size :], block + full
+            yield rows(None, [ordinal], [None], [names])
+            ordinal += len(names)
         if held:
             yield rows(enc.dtype.itemsize, [block], [held], [None])
 

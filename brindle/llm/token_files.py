@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import CACHE_LIMIT, encoder, slices
+from .encoding import CACHE_LIMIT, encoder, lots, slices
 
 #: Ids a word and bits an id, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -133,8 +133,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode whole texts, append end_id to each, and write them to `path` in ascending id order.
 
     Null text: only the end id.  Null ids come first, repeated ids in order of their text (null
-    first).  An empty table writes an empty file.  Memory is bounded by a chunk or the longest text, and
-    by the encoder's `keep` parts."""
+    first).  An empty table writes an empty file.  Memory is bounded by a lot of texts or the longest text,
+    and by the encoder's `keep` parts."""
     if docs.schema[id_col].dataType.simpleString() != "bigint":
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
@@ -142,13 +142,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches):
         enc, shard, chunk, first = encoder(tokenizer, keep=keep), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices([len(t) // 3 + 1 for t in texts], CHUNK_IDS):
-                coded = [x + end for x in enc.encode(texts[lo:hi])]
-                flat = np.frombuffer(b"".join(coded), enc.dtype)
+        for ids, texts in lots(batches):
+            coded = [x + end for x in enc.encode(texts)]
+            lens = [len(x) // enc.dtype.itemsize for x in coded]
+            for lo, hi in slices(lens, CHUNK_IDS):
+                flat = np.frombuffer(b"".join(coded[lo:hi]), enc.dtype)
                 words, word_at, esc, esc_at = pack(flat)
-                row = dict(shard=[shard], chunk=[chunk], first=[first], n_ids=[len(flat)], words=[words.tobytes()], word_at=[word_at], escapes=[esc.tobytes()], escape_at=[esc_at], doc_ids=[ids[lo:hi]], doc_lens=[[len(x) // enc.dtype.itemsize for x in coded]])
+                row = dict(shard=[shard], chunk=[chunk], first=[first], n_ids=[len(flat)], words=[words.tobytes()], word_at=[word_at], escapes=[esc.tobytes()], escape_at=[esc_at], doc_ids=[ids[lo:hi]], doc_lens=[lens[lo:hi]])
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
                 chunk, first = chunk + 1, first + len(flat)

@@ -4,6 +4,7 @@ texts, ties, repeated rows, empty tables and clashing columns."""
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -496,6 +497,37 @@ def test_words_and_their_ends(tmp_path):
         assert [x for lo in range(0, len(texts), 100) for x in e.encode(texts[lo : lo + 100])] == want
 
 
+def test_python_handles_new_parts_only():
+    """Parts that repeat are no Python objects, and known parts are those used most."""
+    e = encoding.PieceEncoder(queries.vocabulary(), keep=40)
+    words = [a + b for a in ("no", "Mi", "été", "x1") for b in ("ra", "pe.", "tu,", "ß")]
+    once, often = [" ".join(words)], [" ".join(words * 400)] * 3
+    e.encode(once)
+    want = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch(often, add_special_tokens=False)]
+    tracemalloc.start()
+    assert e.encode(often) == want
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 40 * 3 * 400 * len(words)  # a str in a list is more than 50 bytes
+    # what is used again and again stays, what came once goes; a part is as long as it needs to be
+    many = [" ".join(f"{w}{c}{d}" for c in "abcdefg" for d in "hijkl") for w in words[:4]]
+    for t in many:
+        e.encode([t, *once])
+        assert len(e.names) <= 2 * e.keep + 35 + len(words) and len(e.names) == len(e.ids) == len(e.uses) == len(set(e.names.to_pylist()))
+    e._forget()
+    assert len(e.names) == e.keep and {"nope", "Mitu", "étéß", "x1ra"} <= set(e.names.to_pylist())
+    long = ["".join(chr(0x4E00 + 100 * k + j % 97) for j in range(4000)) for k in range(5)]
+    assert all(e.encode([t]) == [np.array(e.tokenizer.encode(t).ids, e.dtype).tobytes()] and e.names.nbytes < 3 * 13_000 for t in long) and e.encode([]) == []
+
+
+def test_lots():
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"i": i, "t": t} for i, t in rows], pa.schema([("i", pa.int64()), ("t", pa.string())]))
+    rows = [(1, "a" * 50), (None, None), (3, "b" * 500), (4, ""), (5, "c"), (5, "d")]
+    got = list(encoding.lots([batch(*rows[:2]), batch(), batch(*rows[2:])], 120))
+    assert [(i, t) for ids, texts in got for i, t in zip(ids, texts, strict=True)] == [(i, t or "") for i, t in rows]
+    assert [len(ids) for ids, _ in got] == [2, 1, 3] and list(encoding.lots([], 9)) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 1023, 1024, 1025, 9000])
 def test_pack_round_trip(n):
     rng = np.random.default_rng(n)
